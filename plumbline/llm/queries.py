@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, sharding, simhash
+from plumbline.llm import bpe, decontaminate, linededup, sharding, simhash, spans
 from plumbline.llm.common import read
 from plumbline.plans.shared import new_path
 
@@ -21,10 +22,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op9_simhash)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_byte_bpe,
+        op6_decontamination,
+        op8_sentence_spans,
+        op9_simhash,
+        op10_line_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -232,6 +232,6 @@ def keep_one(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH) -> DataF
     repeated with the same doc_id and text are one document and stay or go together.
     """
     found = _classes(docs, budget, width, GROUP_ROWS)
-    lead = found.where((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    lead = found.where((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
     k1, k2 = row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.join(lead, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_semi")
+    return docs.join(lead, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_semi")
