@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def runs(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = RUN_BYTES
         if col.nbytes <= most:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held + n > most and i > start:
