@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, linededup, sharding, simhash, spans
+from plumbline.llm import bpe, decontaminate, htmltext, linededup, sharding, simhash, spans, topk, toxicity, urlfilter
 from plumbline.llm.common import read
 from plumbline.plans.shared import new_path
 
@@ -22,10 +22,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
+#: (verdict, host, path prefix)
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_toxic_words"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("k1", "k2")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -44,7 +72,11 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_sharding,
         op2_byte_bpe,
+        op3_exact_top_k,
+        op4_url_rules,
+        op5_toxicity,
         op6_decontamination,
+        op7_html_text,
         op8_sentence_spans,
         op9_simhash,
         op10_line_dedup,

@@ -361,8 +361,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans", "k1", "k2")
 
 
+def _civil(batches: Iterator[pa.RecordBatch], model, text: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(model.value)
+    for batch in runs(batches, text=text):
+        kept = [scorer.model.score(*summed(scorer.tagged(t or "")[1])) < threshold for t in batch.column(text).to_pylist()]
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic; the columns stay as they are."""
-    bad = score(docs, model, threshold).where("predicted = 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    k1, k2 = row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.join(bad, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    """The rows of `docs` that aren't predicted toxic; the columns stay as they are. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    return docs.mapInArrow(lambda b: _civil(b, shared, at, threshold), docs.schema)
