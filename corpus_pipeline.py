@@ -1,25 +1,55 @@
-"""The corpus pipeline: documents in, kept and encoded documents out."""
+"""The corpus pipeline: documents in, clean, distinct and encoded documents out.
+
+Every stage gets all that the one before it kept, as a written table, and decides for itself what
+to drop or change. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, simhash
+from plumbline.llm import bpe, decontaminate, linededup, simhash, toxicity
 from plumbline.plans.shared import materialize
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go; the model learns from the labels of those at hand."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_civil(docs, toxicity.train(docs, labels)).select(COLUMNS)
+
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def cut_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found on many sites are cut from all documents but the first; n_chars follows the text."""
+    return linededup.remove_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs).select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages are a twentieth or more go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept text as ids."""
-    return bpe.encode_documents(docs)
+    """Every kept text as token ids, with the digests of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, keep_ids=True)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_boilerplate_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 
+#: The first stage fits a random field and the last encodes by merges; SQL expresses neither.
 ORACLE_SQL = None
 
 
