@@ -32,7 +32,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("site"))
     each = slim.select("doc_id", "site", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    each = each.select("doc_id", "site", "k1", "k2", "line", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("raw")).where(F.length("raw") >= min_chars)
+    each = each.select("doc_id", "site", "k1", "k2", "line", F.btrim("raw", F.lit(" \t\r\f\x0b")).alias("raw")).where(F.length("raw") >= min_chars)
     return each.select("doc_id", "site", "k1", "k2", "line", F.xxhash64(F.lit(17), "raw").alias("h1"), F.xxhash64("raw", F.lit(91)).alias("h2"))
 
 
@@ -61,7 +61,7 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
     Rows repeated with one doc_id and text are one document. Of a line's occurrences the first
     has the smallest doc_id (null after all others), then the smallest row key and line number.
     """
-    lines = _lines(docs, min_chars)
+    lines = materialize(_lines(docs, min_chars), "line-hashes")  # no text; read three times
     found = boilerplate(lines, min_sites)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "line")
     gone = lines.join(found, ["h1", "h2"]).where(first != F.col("first"))
