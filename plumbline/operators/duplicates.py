@@ -31,7 +31,7 @@ def _blank(names: list[str]) -> Column:
 
 
 def _place(df: DataFrame, order: list[str] | None) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in [*(order or []), *df.columns]])
+    return F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate([*(order or []), *df.columns])])
 
 
 def duplicate_groups(df: DataFrame, subset: list[str] | None = None, order: list[str] | None = None) -> DataFrame:

@@ -72,8 +72,8 @@ def resolve_distinct(df: DataFrame, column: str, resolver: EntityResolver) -> Da
     return df.select(X.string(f"`{column}`").alias("value")).distinct().mapInPandas(kernel, MATCH)
 
 
-def resolve_column(df: DataFrame, column: str, into: str, reference: str | Path | Iterable[str] | None = None, auto_accept: float = ACCEPT, review: float = REVIEW, memory: dict | None = None, **_) -> DataFrame:
-    """Adds the struct <value, flagged, reason> of the resolve transform."""
+def resolve_column(df: DataFrame, column: str, into: str, reference: str | Path | Iterable[str] | None = None, auto_accept: float = ACCEPT, review: float = REVIEW, memory: dict | None = None, source: DataFrame | None = None, **_) -> DataFrame:
+    """Adds the struct <value, flagged, reason> of the resolve transform; `source`: the table `df` derives from."""
     import json
 
     from plumbline.functions.reference import STATE_NAMES
@@ -81,7 +81,7 @@ def resolve_column(df: DataFrame, column: str, into: str, reference: str | Path
     if isinstance(reference, str | Path):
         reference = json.loads(Path(reference).read_text(encoding="utf-8"))["canonical"]
     resolver = EntityResolver(reference or STATE_NAMES, auto_accept, review, memory=memory)
-    found = resolve_distinct(df, column, resolver)
+    found = resolve_distinct(df if source is None else source, column, resolver)
     guess = F.get(F.col("alternatives"), F.lit(0))
     blank = X.strip(F.col("value")) == ""
     made = F.struct(

@@ -23,9 +23,12 @@ def induce_vocabulary(df: DataFrame, column: str) -> DataFrame:
     return keyed.join(best, "key").select("raw", "n", "key", X.label("best").alias("label"))
 
 
-def categorical_column(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Adds the struct <value, flagged, reason> of the categorical transform; blanks are flagged."""
-    vocabulary = induce_vocabulary(df, column).select(F.col("raw").alias("__raw"), F.col("label").alias("__label"))
+def categorical_column(df: DataFrame, column: str, into: str, source: DataFrame | None = None) -> DataFrame:
+    """Adds the struct <value, flagged, reason> of the categorical transform; blanks are flagged.
+
+    `source`: the table that has the column as it came, if `df` is one derived from it.
+    """
+    vocabulary = induce_vocabulary(df if source is None else source, column).select(F.col("raw").alias("__raw"), F.col("label").alias("__label"))
     raw = X.strip(X.string(f"`{column}`"))
     joined = df.join(vocabulary, raw == F.col("__raw"), "left")
     empty = raw == ""

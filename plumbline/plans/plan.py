@@ -152,11 +152,11 @@ def run_plan(df: DataFrame, plan: Plan | dict | str) -> Run:
         if m.transform == "resolve":
             from plumbline.operators.resolve import resolve_column
 
-            staged = resolve_column(staged, m.source_column, f"_t{i}", **m.params)
+            staged = resolve_column(staged, m.source_column, f"_t{i}", source=df, **m.params)
         elif m.transform in WHOLE_COLUMN:
             from plumbline.operators.vocabulary import categorical_column
 
-            staged = categorical_column(staged, m.source_column, f"_t{i}")
+            staged = categorical_column(staged, m.source_column, f"_t{i}", source=df)
     return Run(plan, df, staged.drop(*cleaned), done, missing)
 
 
