@@ -98,10 +98,10 @@ def header_band(grid: list[list[str]], start: int) -> list[int]:
 
 
 def header_row(grid: list[list[str]]) -> int:
-    """Of the first rows, the one that is fullest, least numeric and as wide as the table."""
+    """Of the first rows, the one that is fullest, least numeric and at least as wide as the table."""
     width = Counter(len(_filled(r)) for r in grid[:50] if _filled(r)).most_common(1)
     width = width[0][0] if width else 0
-    scored = [(len(_filled(r)) / max(1, len(r)) * (1 - _share(r)) * (1.0 if len(_filled(r)) == width else 0.4), -i) for i, r in enumerate(grid[:15])]
+    scored = [(len(_filled(r)) / max(1, len(r)) * (1 - _share(r)) * (1.0 if len(_filled(r)) >= width else 0.4), -i) for i, r in enumerate(grid[:15])]
     return -max(scored)[1] if scored else 0
 
 
