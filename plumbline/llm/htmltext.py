@@ -107,7 +107,7 @@ def parse(page: str) -> Node:
         at = token.end()
         tag = token[2] or token[5]
         if not tag:
-            if page.startswith("!--", token.start() + 1) and page[at - 1] != ">":
+            if page.startswith("!--", token.start() + 1) and not page.endswith(("-->", "--!>", "<!-->", "<!--->"), token.start(), at):
                 break  # a comment without an end
             continue
         tag, closing, attrs, top = tag.lower(), token[1] or token[4], token[3] or token[6] or "", stack[-1]
@@ -215,7 +215,7 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     if not chars:
         return 0.0
     base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
-    return chars / max(1, tags) * max(0.0, math.log(chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)) / max(1.0, base) if base > 0 else 0.0)
+    return chars / max(1, tags) * math.log1p(chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)) / max(1.0, base)
 
 
 def _within(node: Node | None, names: tuple[str, ...]) -> Node | None:
