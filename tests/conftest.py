@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-DATA = Path("/root/testdata")
 
 
 @pytest.fixture(scope="session")
