@@ -1,4 +1,7 @@
-"""Columns split, merged, and dates taken apart; all native."""
+"""Columns split, merged, and dates taken apart; all native.
+
+Pass `let` (see plumbline.plans.plan.staged) where a part of an expression is used many times.
+"""
 
 from __future__ import annotations
 
@@ -53,18 +56,21 @@ def merge_columns(columns: list[Column | str], sep: str = " ") -> Column:
     return F.concat_ws(sep, *[F.when(_clean(c) != "", _clean(c)) for c in columns])
 
 
-def date_part(c: Column | str, part: str = "year", order: str = "MDY") -> Column:
+def date_part(c: Column | str, part: str = "year", order: str = "MDY", let: V.Let = V.same) -> Column:
     """The year, or the month as two digits; '' for blanks and what isn't a date."""
-    v = _clean(c)
-    day = F.coalesce(V.excel_day(v), V.parse_date(v, order))
+    v = let(_clean(c))
+    day = let(F.coalesce(V.excel_day(v, let), V.parse_date(v, order, None, let)))
     return F.coalesce(F.date_format(day, "yyyy" if part == "year" else "MM"), F.lit(""))
 
 
-def split_geopoint(c: Column | str) -> tuple[Column, Column]:
+def split_geopoint(c: Column | str, let: V.Let = V.same) -> tuple[Column, Column]:
     """(latitude, longitude) as decimal text of `6.45, 3.39`, `(6.45; 3.39)`, `6.45 3.39`; '' where there are none."""
     v = F.regexp_replace(_clean(c), r"^[()\[\] ]+|[()\[\] ]+$", "")
-    parts = F.filter(F.split(v, r"[;,]|\s+"), lambda p: p != "")
-    n = F.size(parts)
+    parts = let(F.filter(F.split(v, r"[;,]|\s+"), lambda p: p != ""))
+    n = let(F.size(parts))
     half = F.floor(n / 2).cast("int")
-    one = lambda p: F.when(n >= 2, F.coalesce(V.rounded(V.parse_degrees(p)), F.lit(""))).otherwise(F.lit(""))
+
+    def one(p: Column) -> Column:
+        return F.when(n >= 2, F.coalesce(V.rounded(V.parse_degrees(let(p), let)), F.lit(""))).otherwise(F.lit(""))
+
     return one(F.array_join(F.slice(parts, F.lit(1), F.greatest(half, F.lit(1))), " ")), one(F.array_join(F.slice(parts, F.greatest(half, F.lit(1)) + 1, F.greatest(n, F.lit(1))), " "))

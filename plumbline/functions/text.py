@@ -20,7 +20,8 @@ EXTRACT = {
 }
 # --- End of fixed values. ---
 
-SPACE = r"[\s\x1c-\x1f\x85]+"
+#: White space that isn't one plain space already; single spaces needn't be replaced.
+SPACE = r"[\s\x1c-\x1f\x85]{2,}|[\t\n\x0b\f\r\x1c-\x1f\x85]"
 
 
 def string(c: Column | str) -> Column:

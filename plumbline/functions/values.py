@@ -71,8 +71,9 @@ def parse_date(s: Column, order: str = "MDY", latest: int | None = None, let: Le
     """
     latest = latest or datetime.date.today().year + 1
     bare = let(F.regexp_replace(s, r"[T ]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?( ?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$", ""))
-    a, b, c = (let(_group(bare, f"^{DATE_PART}$", k)) for k in (1, 2, 3))
-    numeric = a != ""
+    numeric = let(bare.rlike(f"^{DATE_PART}$"))
+    parts = let(F.when(numeric, F.split(bare, r"[./\- ]")))
+    a, b, c = (parts[k] for k in range(3))
     # which of the first two is the day, if the year comes last
     day, month = (a, b) if order == "DMY" else (b, a)
     swap = let((month.try_cast("int") > 12) & (day.try_cast("int") <= 12))
@@ -82,7 +83,7 @@ def parse_date(s: Column, order: str = "MDY", latest: int | None = None, let: Le
     if order == "YMD":
         by_number = F.when(F.length(a) == 4, first).when(F.length(c) == 4, _day(c, b, a)).when(F.length(a) <= 2, first)
 
-    words = let(F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"(?<=\d)(st|nd|rd|th)\b|\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*\b|[,./-]", " "), r"\s+", " ")))
+    words = let(F.when(~numeric, F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"(?<=\d)(st|nd|rd|th)\b|\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*\b|[,./-]", " "), r"\s+", " "))))
     name = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
     forms = [(rf"^(\d{{1,2}}) {name} (\d{{2}}|\d{{4}})$", 1, 2, 3), (rf"^{name} (\d{{1,2}}) (\d{{2}}|\d{{4}})$", 2, 1, 3), (rf"^(\d{{4}}) {name} (\d{{1,2}})$", 3, 2, 1), (rf"^{name} (\d{{4}})$", None, 1, 2)]
     by_name = F.lit(None).cast("date")

@@ -42,6 +42,7 @@ def _pairs(v: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids to compare, a < b, with their values."""
     a, b = v.select(F.col("id").alias("a"), F.col("value").alias("va")), v.select(F.col("id").alias("b"), F.col("value").alias("vb"))
     if v.count() <= ALL_PAIRS:
+        a = a.repartition(v.sparkSession.sparkContext.defaultParallelism)  # the pairs are work for all cores
         return a.join(F.broadcast(b), F.col("a") < F.col("b"))  # at most ALL_PAIRS rows
     words = F.split(X.spaced_key("value"), " ")
     key = X.key("value")

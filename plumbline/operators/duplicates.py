@@ -12,33 +12,30 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.plans.ranks import numbered
-
-
-def _keys(df: DataFrame, subset: list[str] | None) -> list[Column]:
-    return [X.norm_cell(f"`{c}`") for c in subset or df.columns]
+from plumbline.plans.shared import materialize, spread
 
 
 def _keyed(df: DataFrame, subset: list[str] | None) -> tuple[DataFrame, list[str]]:
-    names = [f"__k{i}" for i in range(len(subset or df.columns))]
-    return df.withColumns(dict(zip(names, _keys(df, subset), strict=True))), names
-
-
-def _blank(names: list[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & (F.col(n) == "")
-    return out
+    """`df` with two 64-bit hashes of a row's normalised cells, null for rows without any value."""
+    names = {f"__c{i}": X.norm_cell(f"`{c}`") for i, c in enumerate(subset or df.columns)}
+    cells = [F.col(n) for n in names]
+    said = F.concat(*[F.substr(c, F.lit(1), F.lit(1)) for c in cells]) != ""
+    keys = {"__k1": F.when(said, F.xxhash64(F.lit(17), *cells)), "__k2": F.when(said, F.xxhash64(*reversed(cells), F.lit(91)))}
+    return spread(df).withColumns(names).withColumns(keys).drop(*names), list(keys)
 
 
 def _place(df: DataFrame, order: list[str] | None) -> Column:
-    return F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate([*(order or []), *df.columns])])
+    """Where a row stands: by `order` and then a hash of the row, else by all columns."""
+    if not order:
+        return F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(df.columns)])
+    return F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(order)], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("hash"))
 
 
 def duplicate_groups(df: DataFrame, subset: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """(keys..., size, group): the groups of two or more, numbered from 1: largest first, then by first row."""
+    """(two key hashes, size, group): the groups of two or more, numbered from 1: largest first, then by first row."""
     keyed, names = _keyed(df, subset)
-    groups = keyed.where(~_blank(names)).groupBy(*names).agg(F.count("*").alias("size"), F.min(_place(df, order)).alias("__first")).where("size > 1")
-    return numbered(groups, [F.desc("size"), F.asc("__first"), *map(F.asc, names)], "group").drop("__first")
+    groups = keyed.where("__k1 is not null").groupBy(*names).agg(F.count("*").alias("size"), F.min(_place(df, order)).alias("__first")).where("size > 1")
+    return numbered(materialize(groups, "groups"), [F.desc("size"), F.asc("__first"), *map(F.asc, names)], "group").drop("__first")
 
 
 def find_duplicates(df: DataFrame, subset: list[str] | None = None, order: list[str] | None = None) -> tuple[DataFrame, dict]:
@@ -59,16 +56,16 @@ def dedupe(df: DataFrame, subset: list[str] | None = None, keep: str = "first",
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     place = _place(df, order)
     if keep == "first":
-        best = F.min(F.struct(place.alias("place"), row.alias("row")))["row"]
+        best = F.min_by(row, place)
     elif keep == "last":
-        best = F.max(F.struct(place.alias("place"), row.alias("row")))["row"]
+        best = F.max_by(row, place)
     elif keep == "complete":
         filled = sum((F.when(X.norm_cell(f"`{c}`") != "", 1).otherwise(0) for c in df.columns), F.lit(0))
-        best = F.min(F.struct((-filled).alias("gaps"), place.alias("place"), row.alias("row")))["row"]
+        best = F.min_by(row, F.struct((-filled).alias("gaps"), place.alias("place")))
     else:
         raise ValueError(f"keep is first, last or complete, not {keep!r}")
-    kept = keyed.where(~_blank(names)).groupBy(*names).agg(best.alias("__row")).select("__row.*")
-    return kept.unionByName(keyed.where(_blank(names)).select(*[f"`{c}`" for c in df.columns]))
+    kept = keyed.where("__k1 is not null").groupBy(*names).agg(best.alias("__row")).select("__row.*")
+    return kept.unionByName(keyed.where("__k1 is null").select(*[f"`{c}`" for c in df.columns]))
 
 
 def dedupe_file(df: DataFrame, subset: list[str] | None = None, keep: str = "first", order: list[str] | None = None) -> tuple[DataFrame, dict]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.functions.reference import PLACES, STATE_NAMES
 from plumbline.plans.plan import Mapping, Plan
+from plumbline.plans.shared import spread
 
 SAMPLE = 200
 
@@ -72,52 +73,54 @@ def rates(df: DataFrame, columns: list[str] | None = None, exact: bool = False)
     plan has one set of expressions however wide the table is, and a task sends one row a column.
     """
     columns = columns or df.columns
+    df = spread(df.select(*[f"`{c}`" for c in columns]))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), X.string(f"`{c}`").alias("raw")) for c in columns])
     long = df.select(F.inline(cells)).select("column", X.strip(F.col("raw")).alias("raw")).select("column", F.lower("raw").alias("low"), "raw")
     long = long.select("column", "low", F.when(~F.col("low").isin(*X.PROFILE_MISSING), F.col("raw")).alias("v"))
-    long = long.select("column", F.when(F.col("v").isNotNull(), F.col("low")).alias("low"), "v", _bare(F.col("v")).alias("b"), F.regexp_replace("v", "[^0-9]", "").alias("d"), F.regexp_replace("v", "[^0-9.,]", "").alias("kept"))
-    v, b, d, low, kept = map(F.col, ("v", "b", "d", "low", "kept"))
+    long = long.select("column", F.when(F.col("v").isNotNull(), F.col("low")).alias("low"), "v", _bare(F.col("v")).alias("b"), F.regexp_replace("v", "[^0-9]", "").alias("d"), F.regexp_replace("v", "[^0-9.,]", "").alias("kept"), F.col("v").rlike(r"\p{L}").alias("lettered"))
+    v, b, d, low, kept, lettered = map(F.col, ("v", "b", "d", "low", "kept", "lettered"))
+    numbered = d != ""  # a cheap test in front of dear ones: And stops at the first that fails
     share = lambda test: F.coalesce(F.avg(test.cast("double")), F.lit(0.0))  # noqa: E731  null values don't count
     count = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
-    digits = v.rlike(r"^\d+$")
+    digits = numbered & (v == d)
     phone = F.when(v.startswith("+"), v.rlike(PHONE)).otherwise(d.rlike(PHONE)) | F.regexp_replace(v, "[ -]", "").rlike(PHONE)
-    order = r"^(\d{1,4})[./-](\d{1,2})[./-](\d{1,4})$"
-    first, middle = F.regexp_extract(v, order, 1), F.regexp_extract(v, order, 2)
+    dated = numbered & ~lettered & v.rlike(r"^(\d{1,4})[./-](\d{1,2})[./-](\d{1,4})$")
+    first, middle = F.regexp_extract(v, r"^(\d+)", 1), F.regexp_extract(v, r"^\d+[./-](\d+)", 1)
     commas, dots = kept.contains(","), kept.contains(".")
     return long.groupBy("column").agg(
         F.count(v).alias("n"),
         (F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.01)).alias("distinct"),
-        share(_coordish(v)).alias("coord"),
-        share(v.rlike("[,;]") & v.rlike(r"\d")).alias("point"),
+        share(numbered & _coordish(v)).alias("coord"),
+        share(numbered & v.rlike("[,;]")).alias("point"),
         share(v.isin("0", "1")).alias("indicator"),
-        share(v.rlike(TIME) & v.rlike(DATEISH)).alias("timestamp"),
-        share(v.rlike(UNIT)).alias("unit"),
+        share(numbered & v.contains(":") & v.rlike(TIME) & v.rlike(DATEISH)).alias("timestamp"),
+        share(numbered & lettered & v.rlike(UNIT)).alias("unit"),
         F.coalesce(F.avg(F.length(v).cast("double")), F.lit(0.0)).alias("avg_len"),
         F.coalesce(F.avg(F.size(F.split(v, r"\s+")).cast("double")), F.lit(0.0)).alias("avg_tokens"),
-        share(v.rlike(EMAIL)).alias("email"),
-        share(phone).alias("phone"),
+        share(v.contains("@") & v.rlike(EMAIL)).alias("email"),
+        share(numbered & phone).alias("phone"),
         share(d != "").alias("digit"),
-        share(b.rlike(NUMERIC)).alias("numeric"),
-        share(b.rlike(r"^-?\d+\.\d+$")).alias("decimal"),
-        share(v.rlike(r"^[A-Za-z0-9]+$") & v.rlike(r"\d")).alias("alnum"),
-        share(v.rlike(DATE) & ~(v.rlike(r"^-?\d+$") & (F.length(v) <= 6))).alias("date"),
-        share(v.rlike(r"\p{L}")).alias("letters"),
-        share(v.rlike(r"^\d{5}(\.\d+)?$")).alias("serial"),
+        share(numbered & b.rlike(NUMERIC)).alias("numeric"),
+        share(numbered & b.contains(".") & b.rlike(r"^-?\d+\.\d+$")).alias("decimal"),
+        share(numbered & v.rlike(r"^[A-Za-z0-9]+$")).alias("alnum"),
+        share(numbered & v.rlike(DATE) & ~(v.rlike(r"^-?\d+$") & (F.length(v) <= 6))).alias("date"),
+        share(lettered).alias("letters"),
+        share(numbered & ~lettered & v.rlike(r"^\d{5}(\.\d+)?$")).alias("serial"),
         share(digits).alias("digits_only"),
         count(digits & v.rlike(r"^0\d")).alias("leading_zero"),
         count(digits).alias("n_digits_only"),
         F.coalesce(F.mode(F.when(digits, F.length(v))), F.lit(0)).alias("digits_len"),
         F.coalesce(F.mode(F.when(d != "", F.length(d)), True), F.lit(0)).alias("id_len"),
         (F.count_distinct(F.when(b.rlike(r"^[-+]?\d+(\.\d+)?$"), v)) if exact else F.approx_count_distinct(F.when(b.rlike(r"^[-+]?\d+(\.\d+)?$"), v), 0.01)).alias("num_distinct"),
-        share(F.regexp_replace(v, "[ '-]", "").rlike(r"^\p{L}+$")).alias("alpha"),
+        share(lettered & F.regexp_replace(v, "[ '-]", "").rlike(r"^\p{L}+$")).alias("alpha"),
         share(low.isin(*GENDERS)).alias("gender"),
         share(low.isin(*YES, *NO)).alias("boolean"),
         share(low.isin(*YES)).alias("yes"),
         share(low.isin(*NO)).alias("no"),
-        count(v.rlike(order)).alias("dates"),
-        count(v.rlike(order) & (F.length(first) == 4)).alias("ymd"),
-        count(v.rlike(order) & (F.length(first) < 4) & (first.try_cast("int") > 12)).alias("dmy"),
-        count(v.rlike(order) & (F.length(first) < 4) & (first.try_cast("int") <= 12) & (middle.try_cast("int") > 12)).alias("mdy"),
+        count(dated).alias("dates"),
+        count(dated & (F.length(first) == 4)).alias("ymd"),
+        count(dated & (F.length(first) < 4) & (first.try_cast("int") > 12)).alias("dmy"),
+        count(dated & (F.length(first) < 4) & (first.try_cast("int") <= 12) & (middle.try_cast("int") > 12)).alias("mdy"),
         count(commas & dots & (F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), "."))).alias("both_comma"),
         count(commas & dots & (F.instr(F.reverse(kept), ",") > F.instr(F.reverse(kept), "."))).alias("both_dot"),
         count(commas & ~dots & kept.rlike(r"^\d+,\d{1,2}$")).alias("short_comma"),

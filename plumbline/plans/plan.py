@@ -8,6 +8,7 @@ the same plan runs on a stream. The report is one aggregation over that table.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.functions.values import Let
 from plumbline.operators import transforms as T
 
 #: Transforms that look at a whole column before they can decide a value.
@@ -118,6 +120,20 @@ class Run:
         return out
 
 
+def staged(df: DataFrame, build: Callable[[Let], dict[str, Column]]) -> DataFrame:
+    """Adds the columns that `build` makes; what it passes to `let` is computed once, as a column that goes again."""
+    steps: list[tuple[str, Column]] = []
+
+    def let(c: Column) -> Column:
+        steps.append((f"__l{len(steps)}", c))
+        return F.col(steps[-1][0])
+
+    made = build(let)
+    for name, c in steps:
+        df = df.withColumn(name, c)
+    return df.withColumns(made).drop(*[name for name, _ in steps])
+
+
 def run_plan(df: DataFrame, plan: Plan | dict | str) -> Run:
     """Applies a plan. A mapping whose source column is missing is skipped and reported."""
     plan = Plan.of(plan)

@@ -12,6 +12,7 @@ from plumbline.plans.shared import materialize
 def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
     """Adds a column `name`: first, first + 1 and on, by `order` (should be total).
 
+    `df` is read twice, to sample its ranges and to deal it out: write it first if it is dear to make.
     Rows are dealt out by ranges of the order and numbered within each; the driver adds up one
     count for each partition.
     """

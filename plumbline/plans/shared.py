@@ -48,3 +48,16 @@ def drop(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Inputs up to this size, one split of a file by default, are dealt over all cores before much work is done on them.
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores if the planner takes it for small enough to come in one part.
+    A large input comes in many parts and stays as it is, without a shuffle."""
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df

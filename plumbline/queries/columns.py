@@ -13,7 +13,7 @@ from plumbline.functions import language, reshape
 from plumbline.functions import text as X
 from plumbline.functions.reference import STATE_NAMES
 from plumbline.operators import embeddings
-from plumbline.plans.plan import run_plan
+from plumbline.plans.plan import run_plan, staged
 from plumbline.queries.registry import query, read
 
 
@@ -201,7 +201,7 @@ def excel_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month FROM orders")
 def date_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "MMM d, yyyy").alias("d"))
-    return df.select("o_orderkey", reshape.date_part("d", "year").alias("year"), reshape.date_part("d", "month").alias("month"))
+    return staged(df, lambda let: {p: reshape.date_part("d", p, let=let) for p in ("year", "month")}).drop("d")
 
 
 @query(
@@ -315,8 +315,8 @@ _degrees("longitude", 180)
 def split_geopoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, long = (F.col("c_custkey") % 90 + 0.25).cast("string"), (-(F.col("c_custkey") % 180) - 0.5).cast("string")
     raw = case(F.col("c_custkey"), 3, F.concat(lat, F.lit(", "), long), F.concat(F.lit("("), lat, F.lit("; "), long, F.lit(")")), F.concat(lat, F.lit(" "), long))
-    a, b = reshape.split_geopoint("raw")
-    return read(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")).select("c_custkey", a.cast("double").alias("lat"), b.cast("double").alias("long"))
+    df = read(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    return staged(df, lambda let: {n: c.cast("double") for n, c in zip(("lat", "long"), reshape.split_geopoint("raw", let), strict=True)}).drop("raw")
 
 
 @query("SELECT p_partkey, trim(split_part(p_type, ' ', 1)) AS first, CASE WHEN instr(p_type, ' ') > 0 THEN trim(substr(p_type, instr(p_type, ' ') + 1)) END AS rest FROM part")
