@@ -59,5 +59,5 @@ def spread(df: DataFrame) -> DataFrame:
     A large input comes in many parts and stays as it is, without a shuffle."""
     if df.isStreaming:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
