@@ -105,8 +105,7 @@ def cluster_similar(df: DataFrame, column: str, threshold: float = LINK, same: C
                 m = list(m)
                 s = [guarded(a, b) for i, a in enumerate(m) for b in m[i + 1 :]]
                 out.append((min(s), sum(s) / len(s)))
-            least, mean = [x[0] for x in out], [x[1] for x in out]
-            yield pdf[["representative", "members", "size"]].assign(confidence=["high" if a >= HIGH else "medium" if b >= MEDIUM else "low" for a, b in out], score=[round(b, 3) for b in mean])
-            del least
+            grades = ["high" if a >= HIGH else "medium" if b >= MEDIUM else "low" for a, b in out]
+            yield pdf[["representative", "members", "size"]].assign(confidence=grades, score=[round(b, 3) for _, b in out])
 
     return shown.mapInPandas(cohesion, "representative string, members array<string>, size long, confidence string, score double")
