@@ -118,6 +118,15 @@ def distribution(df: DataFrame, after: DataFrame | None = None) -> list[dict]:
     return distribution_profile(df) if after is None else before_after(df, after)
 
 
+def status() -> dict:
+    """What is at hand: tools, transforms, regions, and readers that plug-ins added."""
+    from plumbline.operators.toolkit import TOOLS
+    from plumbline.operators.transforms import list_transforms
+    from plumbline.sources.router import PLUGINS
+
+    return {"tools": sorted(TOOLS), "transforms": list_transforms(), "regions": list_regions(), "plugins": sorted(PLUGINS)}
+
+
 def cancel(spark: SparkSession, group: str) -> None:
     """Stops the jobs of a group set by sparkContext.setJobGroup."""
     spark.sparkContext.cancelJobGroup(group)

@@ -47,6 +47,22 @@ def find_duplicates(df: DataFrame, subset: list[str] | None = None, order: list[
     return found.select("_dup_group", *[f"`{c}`" for c in df.columns]), {"duplicate_groups": totals[0], "rows_involved": totals[1]}
 
 
+PREVIEWS, CUT = 50, 90
+
+
+def payload(df: DataFrame, row: list[str], subset: list[str] | None = None, most: int = PREVIEWS) -> tuple[DataFrame, dict]:
+    """(group, size, keep_row, keep_preview): the largest groups with the row that would stay and a short
+    preview of it; and the totals over all groups. `row`: columns that name and order a row."""
+    groups = duplicate_groups(df, subset, row)
+    totals = groups.agg(F.count("*"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0))).first()
+    keyed, names = _keyed(df, subset)
+    shown = F.substring(F.concat_ws(" · ", *[F.when(X.strip(X.string(f"`{c}`")) != "", X.string(f"`{c}`")) for c in df.columns]), 1, CUT)
+    place = _place(df, row)
+    top = groups.where(F.col("group") <= most)
+    kept = keyed.join(top, names).groupBy("group", "size").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in row]), place).alias("keep_row"), F.min_by(shown, place).alias("keep_preview"))
+    return kept, {"duplicate_groups": totals[0], "removable_rows": totals[1]}
+
+
 def dedupe(df: DataFrame, subset: list[str] | None = None, keep: str = "first", order: list[str] | None = None) -> DataFrame:
     """One row of each group: the `first` or `last` by `order`, or the most `complete` (then first).
 

@@ -265,3 +265,9 @@ def profile_to_plan(profiles: list[ColumnProfile], name: str = "auto", reference
     return Plan(out, name)
 
 
+
+
+def with_types(df: DataFrame, profiles: list[ColumnProfile]) -> DataFrame:
+    """`df` with each column's semantic type and confidence in its field's metadata, where plans and writers keep it."""
+    found = {p.column: {"semantic_type": p.semantic_type, "confidence": float(p.confidence)} for p in profiles}
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata={**df.schema[c].metadata, **found.get(c, {})}) for c in df.columns])

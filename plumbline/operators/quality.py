@@ -132,3 +132,12 @@ def valid_share(df: DataFrame, column: str, kind: str) -> Column:
     v = X.clean(f"`{column}`")
     test = V.is_email(v) if kind == "email" else X.stripped_number(v).isNotNull()
     return F.avg(F.when(v != "", test.cast("double")))
+
+
+def scores(df: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """One row (n, precision, recall, accuracy) of predictions against labels; null says `none of them`."""
+    p, a = F.col(f"`{predicted}`"), F.col(f"`{actual}`")
+    hit = (p.isNotNull() & p.eqNullSafe(a)).cast("long")
+    right = p.eqNullSafe(a).cast("long")
+    share = lambda x, n: F.coalesce(F.try_divide(F.sum(x), n), F.lit(1.0))
+    return df.agg(F.count("*").alias("n"), share(hit, F.count(p)).alias("precision"), share(hit, F.count(a)).alias("recall"), share(right, F.count("*")).alias("accuracy"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import clusters, distribution, domains, duplicates, embeddings, joins, knowledge, outliers, profile, quality, resolve, review, toolkit, typeclf, vocabulary
+from plumbline.operators import clusters, distribution, domains, duplicates, embeddings, headers, joins, knowledge, outliers, profile, quality, resolve, review, toolkit, typeclf, vocabulary
 from plumbline.plans.shared import new_path
 from plumbline.queries.columns import customer_run
 from plumbline.queries.registry import query, read
+from plumbline.sources import export, files, router
 from plumbline.streaming import streams
 
 # --- joins ---
@@ -502,3 +503,53 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "deduped")
     kept.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "dedupe-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# --- files, decisions, metrics ---
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"x\"' AS c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV in parts and read back, with separators and quotes in the values."""
+    path = f"{new_path(spark, 'csv')}.csv"
+    df = read(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(',\n"x"')).alias("c_name"), "c_mktsegment")
+    export.to_csv(df, path)
+    return router.read_any(spark, path)[0]
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS \"id\", n_name AS \"nation.name\", CAST(n_regionkey AS VARCHAR) AS \"nation.region\" FROM nation")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{new_path(spark, 'json')}.json"
+    nested = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("nation"))
+    nested.write.json(path)
+    return files.read_json(spark, path, lines=True)[0]
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS duplicate_groups, CAST(coalesce(sum(size - 1), 0) AS BIGINT) AS removable_rows FROM ({_GROUPS})")
+def duplicate_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, totals = duplicates.payload(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], ["text"])
+    return spark.createDataFrame([tuple(totals.values())], "duplicate_groups long, removable_rows long")
+
+
+@query("SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'CHEAP' ELSE p_type END AS p_type, 'x' AS p_brand FROM part")
+def merge_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = review.Decisions(set_all={"p_brand": "x"}, merges={"p_type": [{"into": "CHEAP", "members": ["ECONOMY", "PROMO"]}]})
+    out, _ = review.apply_decisions(read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), {"mappings": []}, decisions)
+    return out
+
+
+@query(
+    """
+    SELECT count(*) AS n, count(*) FILTER (p IS NOT NULL AND p = a) / CAST(count(p) AS DOUBLE) AS precision, count(*) FILTER (p IS NOT NULL AND p = a) / CAST(count(a) AS DOUBLE) AS recall,
+           count(*) FILTER (p IS NOT DISTINCT FROM a) / CAST(count(*) AS DOUBLE) AS accuracy
+    FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS p, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS a FROM orders)
+    """
+)
+def accuracy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    df = read(spark, sf_dir, "orders").select(F.when(key % 5 == 0, None).when(key % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("p"), F.when(key % 11 != 0, F.col("o_orderstatus")).alias("a"))
+    return quality.scores(df, "p", "a")
+
+
+@query("SELECT * FROM (VALUES ('Ph No', 'phone', 'phone_ng'), ('D.O.B', 'date_of_birth', 'date_iso'), ('Surnam', 'surname', 'name')) t(source_column, target_field, transform)")
+def header_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = headers.propose_plan(["Ph No", "D.O.B", "Surnam", "weird"])
+    return spark.createDataFrame([(m["source_column"], m["target_field"], m["transform"]) for m in plan["mappings"]], "source_column string, target_field string, transform string")

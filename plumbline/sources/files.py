@@ -27,19 +27,32 @@ _ROW = "sheet string, number int, cells array<string>"
 
 
 def head(spark: SparkSession, path: str, n: int = sniff.HEAD_BYTES) -> bytes:
-    """The first bytes of a file in any store that Spark reads."""
+    """The first bytes of a file, or of a folder's first part, in any store that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(where).isDirectory():
+        parts = sorted(f.getPath().toString() for f in store.listStatus(where) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not parts:
+            return b""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parts[0])
+    stream = store.open(where)
     try:
         return bytes(stream.readNBytes(n))
     finally:
         stream.close()
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory())
+
+
 def read_csv_like(spark: SparkSession, path: str, keep_row_ids: bool = False) -> tuple[DataFrame, IngestReport]:
     """Delimited text: encoding, delimiter and header rows sniffed; ragged rows padded and trimmed; empty columns dropped.
 
-    With keep_row_ids a column _row_id rises in file order.
+    With keep_row_ids a column _row_id rises in file order. A table whose labels run down its first
+    column is turned, if it fits the head of the file. A folder is one table written in parts, each
+    with one header row.
     """
     first = head(spark, path)
     report = IngestReport("delimited", encoding=sniff.encoding(first))
@@ -48,8 +61,18 @@ def read_csv_like(spark: SparkSession, path: str, keep_row_ids: bool = False) ->
         text = text.rpartition("\n")[0]
     report.delimiter = sniff.delimiter(text[:65536])
     grid = [r for _, r in zip(range(sniff.ROWS), csv.reader(io.StringIO(text), delimiter=report.delimiter), strict=False)]
-    columns, start, above = sniff.layout([r for r in grid])
+    columns, start, above = sniff.layout(grid)
     report.orientation = sniff.orientation(grid[len(above) :])
+    if columns and is_folder(spark, path):
+        options = {"header": "true", "sep": report.delimiter, "quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": "", "multiLine": str(any("\n" in c for r in grid for c in r)).lower()}
+        parts = spark.read.options(**options).csv(path)
+        report.header_row, report.data_row, report.columns = 1, 2, len(parts.columns)
+        return parts.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in parts.columns]), report
+    if report.orientation == "transposed" and len(grid) < sniff.ROWS and len(first) < sniff.HEAD_BYTES:
+        turned = [list(r) for r in zip(*[r + [""] * (max(map(len, grid)) - len(r)) for r in grid[len(above) :] if any(c.strip() for c in r)], strict=True)]
+        columns, report.skipped_rows, report.columns = sniff.names(turned[0]), above, len(turned[0])
+        report.notes.append("turned: labels ran down the first column")
+        return spark.createDataFrame([tuple(r) for r in turned[1:]], ", ".join(f"`{c}` string" for c in columns)), report
     if not columns:
         return spark.createDataFrame([], T.StructType([])), report
     multi = any("\n" in c for r in grid for c in r)
