@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.plans.long import value_counts
 from plumbline.plans.ranks import numbered
 from plumbline.plans.shared import materialize, spread
 
@@ -93,14 +94,10 @@ def dedupe_file(df: DataFrame, subset: list[str] | None = None, keep: str = "fir
 def confusion(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """(column, distinct_raw, distinct_key, variants, multi_share, warn_variants, warn_multi): columns
     whose values differ only by case or spaces, or hold several values in a cell, are poor keys."""
-    cols = subset or df.columns
-    each = []
-    for c in cols:
-        v = F.col(f"`{c}`").cast("string")
-        each.append(F.struct(F.count_distinct(v).alias("raw"), F.count_distinct(F.lower(X.strip(v))).alias("key"), F.avg(X.strip(v).rlike("[;,/|]").cast("double")).alias("multi")).alias(f"c{len(each)}"))
-    one = df.agg(*each)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}.raw").alias("distinct_raw"), F.col(f"c{i}.key").alias("distinct_key"), F.coalesce(F.col(f"c{i}.multi"), F.lit(0.0)).alias("multi_share")) for i, c in enumerate(cols)])
-    out = one.select(F.inline(rows))
+    each = value_counts(df, subset).where("value is not null").withColumn("key", X.strip(F.col("value")))
+    multi = F.when(F.col("key").rlike("[;,/|]"), F.col("n")).otherwise(0)
+    keys = each.groupBy("column", F.lower("key").alias("key")).agg(F.count("*").alias("raws"), F.sum("n").alias("n"), F.sum(multi).alias("multi"))
+    out = keys.groupBy("column").agg(F.sum("raws").alias("distinct_raw"), F.count("*").alias("distinct_key"), (F.sum("multi") / F.sum("n")).alias("multi_share"))
     return out.select("column", "distinct_raw", "distinct_key", (F.col("distinct_raw") - F.col("distinct_key")).alias("variants"), "multi_share", (F.col("distinct_key") < F.col("distinct_raw")).alias("warn_variants"), (F.col("multi_share") >= 0.1).alias("warn_multi"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.functions import values as V
 from plumbline.operators import outliers as O
+from plumbline.plans.long import value_counts
 
 
 def summarise(df: DataFrame, blank_is_missing: bool = True, order: list[str] | None = None, types: bool = False) -> DataFrame:
@@ -23,17 +25,18 @@ def summarise(df: DataFrame, blank_is_missing: bool = True, order: list[str] | N
         from plumbline.operators.profile import profile
 
         found = {p.column: p.semantic_type for p in profile(df)}
-    each = []
-    for i, c in enumerate(df.columns):
-        v = F.col(f"`{c}`").cast("string")
-        said = F.when(X.strip(v) != "", v)
-        filled = said if blank_is_missing else v
-        first = F.min_by(said, F.when(said.isNotNull(), F.struct(*[F.col(f"`{o}`") for o in order]))) if order else F.min(said)
-        each.append(F.struct(F.count(filled).alias("filled"), F.count("*").alias("total"), F.count_distinct(filled).alias("distinct"), F.coalesce(first, F.lit("")).alias("example")).alias(f"c{i}"))
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(found.get(c, "")).alias("detected_type"), F.col(f"c{i}").alias("s")) for i, c in enumerate(df.columns)])
-    out = df.agg(*each).select(F.inline(rows))
-    missing = F.round(100 * (F.col("s.total") - F.col("s.filled")) / F.greatest(F.col("s.total"), F.lit(1)), 1)
-    return out.select("column", "detected_type", F.col("s.filled").alias("filled"), missing.alias("missing_pct"), F.col("s.distinct").alias("distinct"), F.col("s.example").alias("example"))
+    said = X.strip(F.coalesce("value", F.lit(""))) != ""
+    filled = said if blank_is_missing else F.col("value").isNotNull()
+    first = F.min_by(F.when(said, F.col("value")), F.when(said, F.col("place") if order else F.col("value")))
+    one = value_counts(df, order=order).groupBy("column").agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("filled"), F.count(F.when(filled, 1)).alias("distinct"), F.coalesce(first, F.lit("")).alias("example")
+    )
+    # a table without rows has columns all the same
+    names = F.from_json(F.lit(json.dumps([{"column": c, "detected_type": found.get(c, "")} for c in df.columns])), "array<struct<column: string, detected_type: string>>")
+    every = df.sparkSession.range(1).select(F.inline(names))
+    out = every.join(one, "column", "left")
+    missing = F.round(100 * (F.col("total") - F.col("filled")) / F.greatest(F.col("total"), F.lit(1)), 1)
+    return out.select("column", "detected_type", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce(missing, F.lit(0.0)).alias("missing_pct"), F.coalesce("distinct", F.lit(0)).alias("distinct"), F.coalesce("example", F.lit("")).alias("example"))
 
 
 @dataclass
@@ -85,16 +88,16 @@ def detect_keys(df: DataFrame, typed: dict[str, str] | None = None) -> list[str]
         from plumbline.operators.profile import profile
 
         typed = {p.column: p.semantic_type for p in profile(df)}
-    ratios = distinct_ratios(df).collect()  # one row a column
+    ratios = sorted(distinct_ratios(df).collect(), key=lambda r: df.columns.index(r["column"]))  # one row a column
     keys = [r["column"] for r in ratios if typed.get(r["column"]) in ("identifier", "phone", "email") and r["ratio"] >= 0.9]
     return keys or [r["column"] for r in ratios if r["filled"] and r["ratio"] >= 0.98]
 
 
 def distinct_ratios(df: DataFrame) -> DataFrame:
     """(column, filled, distinct, ratio)."""
-    each = [F.struct(F.count(F.col(f"`{c}`")).alias("filled"), F.count_distinct(F.col(f"`{c}`")).alias("distinct")).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}.filled").alias("filled"), F.col(f"c{i}.distinct").alias("distinct")) for i, c in enumerate(df.columns)])
-    return df.agg(*each).select(F.inline(rows)).withColumn("ratio", F.col("distinct") / F.greatest(F.col("filled"), F.lit(1)))
+    said = F.col("value").isNotNull()
+    one = value_counts(df).groupBy("column").agg(F.coalesce(F.sum(F.when(said, F.col("n"))), F.lit(0)).alias("filled"), F.count("value").alias("distinct"))
+    return one.withColumn("ratio", F.col("distinct") / F.greatest(F.col("filled"), F.lit(1)))
 
 
 def anonymise(df: DataFrame, columns: list[str] | None = None, how: str = "hash") -> tuple[DataFrame, dict]:
