@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import duplicates, joins, names, outliers, quality
 from plumbline.operators.profile import profile, profile_to_plan
 from plumbline.plans.plan import run_plan
+from plumbline.plans.shared import spread
 
 Result = tuple[DataFrame, dict]
 
@@ -54,6 +55,7 @@ def _combine(dfs: list[DataFrame]) -> Result:
 
 def quick_clean(df: DataFrame) -> Result:
     """Every column cleaned by its type."""
+    df = spread(df)
     run = run_plan(df, profile_to_plan(profile(df)))
     changed = run.counts().agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]
     return run.table, {"columns": len(df.columns), "rows": df.count(), "values_changed": changed}
