@@ -225,8 +225,9 @@ def without_repeats(rows):
                 sentence = []
         for k in range(len(pieces)):
             j = k
-            while j < len(pieces) and (j - k + 1 < spans.SENTENCES or pieces[j][-1] - pieces[k][0] + 1 < spans.WORDS):
-                j += 1
+            if len(pieces[k]) < spans.WORDS:
+                while j < len(pieces) and (j - k + 1 < spans.SENTENCES or pieces[j][-1] - pieces[k][0] + 1 < spans.WORDS):
+                    j += 1
             if j < len(pieces):
                 a, b = pieces[k][0], pieces[j][-1]
                 key = tuple(raw[x:y].lower() for x, y in at[a : b + 1])
