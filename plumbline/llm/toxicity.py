@@ -186,11 +186,10 @@ def _ratio(a: int, b: int, n1: int, n0: int) -> float:
 def _choose(docs: list[list[str]], toxic: list[int]) -> dict[str, float]:
     n1 = sum(toxic)
     n0 = len(toxic) - n1
-    with_, without, words1 = Counter(), Counter(), set()
+    with_, without = Counter(), Counter()
     for words, y in zip(docs, toxic, strict=True):
         if y:
             with_.update({f for w in set(words) for f in features(w)})
-            words1.update(words)
     rare = {f for f, a in with_.items() if a < 3}
     for f in rare:
         del with_[f]
@@ -302,7 +301,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float,
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from labelled texts. Without texts of both labels, every text scores the share of toxic ones."""
     keep = _distinct(texts)
-    docs, labels = [_WORD.findall(lower(texts[i])) for i in keep], [toxic[i] for i in keep]
+    once: dict[str, str] = {}  # one string for all occurrences of a word
+    docs, labels = [[once.setdefault(w, w) for w in _WORD.findall(lower(texts[i]))] for i in keep], [toxic[i] for i in keep]
     share = (sum(labels) + 0.5) / (len(labels) + 1)
     base = math.log(share / (1 - share)) if labels else -3.0
     if not 0 < sum(labels) < len(labels) or not (chosen := _choose(docs, labels)):
