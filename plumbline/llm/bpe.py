@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import runs
+from plumbline.llm.common import bounded, runs
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts of more characters than this are encoded in pieces of about as many.
@@ -88,7 +88,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     path = path or public_tokenizers.path(RANKS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return slim.mapInArrow(lambda batches: _rows(batches, path, keep_ids), schema)
+    return bounded(slim).mapInArrow(lambda batches: _rows(batches, path, keep_ids), schema)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -101,4 +101,4 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Rows (doc_id, bytes) of rows (doc_id, ids): the raw bytes of the ids; null ids give null bytes."""
     path = path or public_tokenizers.path(RANKS)
-    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _texts(batches, path), "doc_id long, bytes binary")
+    return bounded(encoded.select("doc_id", "ids")).mapInArrow(lambda batches: _texts(batches, path), "doc_id long, bytes binary")

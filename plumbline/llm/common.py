@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 RUN_BYTES = 8 << 20
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 would make batches of gigabytes out of long texts.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, its session set to hand Python at most BATCH_ROWS rows at once (a lower setting stays)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, BATCH_ROWS)
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

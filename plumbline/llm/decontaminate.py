@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bloom import bloom, passes
-from plumbline.llm.common import row_key, runs
+from plumbline.llm.common import bounded, row_key, runs
 from plumbline.llm.words import ALNUM, RUN, Words, mix
 from plumbline.plans.shared import materialize
 
@@ -118,14 +118,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = materialize(items.mapInArrow(lambda b: _windows(b, window, gram), "item_id long, h long, rel int, n int, words string"), "windows")
+    windows = materialize(bounded(items).mapInArrow(lambda b: _windows(b, window, gram), "item_id long, h long, rel int, n int, words string"), "windows")
     short = [r[0] for r in windows.where(F.col("n") < window).select("n").distinct().collect()]  # fewer than `window` values
     bits, size = bloom(windows.select("h").distinct())
     shared = spark.sparkContext.broadcast(bits)
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
     schema = "doc_id long, k1 long, k2 long, n_words long, hits array<struct<h: long, p: int, left: int, words: array<string>>>"
-    told = materialize(slim.mapInArrow(lambda b: _document_hits(b, shared, size, short, window, gram), schema), "hits")
+    told = materialize(bounded(slim).mapInArrow(lambda b: _document_hits(b, shared, size, short, window, gram), schema), "hits")
 
     w1, w2 = F.xxhash64(F.lit(17), "words"), F.xxhash64(F.lit(91), "words")
     distinct = windows.select("h", "rel", "n", "words", w1.alias("w1"), w2.alias("w2")).distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import runs
+from plumbline.llm.common import bounded, runs
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -345,4 +345,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return slim.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return bounded(slim).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

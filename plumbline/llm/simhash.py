@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import row_key, runs
+from plumbline.llm.common import bounded, row_key, runs
 from plumbline.plans.components import connected_components
 from plumbline.plans.shared import materialize
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows (doc_id, fp, k1, k2): fp the fingerprint's bits as a signed long, k1 and k2 the row's key."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     k1, k2 = row_key("doc_id", "text")
-    return slim.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")).mapInArrow(lambda batches: _fingerprints(batches, width), "doc_id long, fp long, k1 long, k2 long")
+    return bounded(slim.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))).mapInArrow(lambda batches: _fingerprints(batches, width), "doc_id long, fp long, k1 long, k2 long")
 
 
 def _forest_step(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:

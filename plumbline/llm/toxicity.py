@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import row_key, runs
+from plumbline.llm.common import bounded, row_key, runs
 from plumbline.llm.decontaminate import Grams
 from plumbline.llm.words import ALNUM, mix
 
@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features that passed a test on a bounded sample
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-    out = slim.mapInArrow(lambda b: _scored(b, shared), "doc_id long, k1 long, k2 long, score double, spans array<struct<begin: int, end: int>>")
+    out = bounded(slim).mapInArrow(lambda b: _scored(b, shared), "doc_id long, k1 long, k2 long, score double, spans array<struct<begin: int, end: int>>")
     held = F.coalesce(_remainder(F.col("doc_id")) == 2, F.lit(True))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans", "k1", "k2")
 
@@ -372,4 +372,4 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows of `docs` that aren't predicted toxic; the columns stay as they are. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    return docs.mapInArrow(lambda b: _civil(b, shared, at, threshold), docs.schema)
+    return bounded(docs).mapInArrow(lambda b: _civil(b, shared, at, threshold), docs.schema)
