@@ -271,3 +271,27 @@ def test_span_edges(edges, empty):
     out = spans.remove_repeats(edges)
     assert out.count() == edges.count() and spans.remove_repeats(empty).count() == 0
     assert out.where("text is null").count() == 1
+
+
+def removed_by_query(spark, docs, tmp_path, rows):
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    return {r["doc_id"]: r["text"] for r in QUERIES["op8_sentence_spans"](spark, str(tmp_path)).collect()}
+
+
+def test_last_short_sentence_of_a_passage_goes(spark, docs, tmp_path):
+    sentence = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + "."
+    passage = " ".join(sentence(name, n) for name, n in (("a", 12), ("b", 12), ("c", 4)))
+    out = removed_by_query(spark, docs, tmp_path, [(1, f"{passage} {sentence('x', 11)}"), (2, f"{sentence('y', 9)} {passage} {sentence('z', 10)}")])
+    assert out[1] == f"{passage} {sentence('x', 11)}" and out[2] == f"{sentence('y', 9)} {sentence('z', 10)}"
+
+
+def test_fifty_words_inside_long_sentences_are_found(spark, docs, tmp_path):
+    plain = [w for w in (f"w{k}" for k in range(4000)) if mixed(w.encode()) % spans.CUT]
+    rng = np.random.default_rng(10)
+    rows, passages = [], [rng.choice(plain, 50).tolist() for _ in range(30)]
+    for i in range(60):
+        own = [f"{w}of{i}" for w in rng.choice(plain, 40)]
+        rows.append((i, " ".join(own[: 1 + i % 20] + passages[i % 30] + own[20:])))
+    out = removed_by_query(spark, docs, tmp_path, rows)
+    for i, t in rows:
+        assert out[i] == t if i < 30 else len(t.split()) - len(out[i].split()) >= 21
