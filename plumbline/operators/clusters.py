@@ -1,14 +1,18 @@
 """Similar values grouped as suggestions: never merged, numbers never linked to other numbers.
 
-All pairs are compared up to `ALL_PAIRS` distinct values. Beyond, pairs are those of a block: a
-shared word, a shared rare 3-gram, or a shared first letters; links then become components by joins.
+Distinct values are dealt into chunks by hash, and every pair of chunks is one task, so all pairs are
+met at any size. A pair that shares no word is left out only if its letters in common bound its
+similarity below the threshold; all others are scored. Links then become components by joins.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +22,10 @@ from plumbline.functions import text as X
 from plumbline.plans.components import connected_components
 from plumbline.plans.shared import materialize
 
-LINK, GROUP, HIGH, MEDIUM, ALL_PAIRS, MOST_IN_BLOCK = 0.72, 0.85, 0.88, 0.80, 1500, 300
+LINK, GROUP, HIGH, MEDIUM, ALL_PAIRS = 0.72, 0.85, 0.88, 0.80, 1500
+#: Values of a chunk: as many as make a few tasks of pairs for each core, and at most MOST_IN_CHUNK.
+LEAST_IN_CHUNK, MOST_IN_CHUNK = 100, 2000
+_LETTERS = {c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
 _NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?")
 
 
@@ -38,32 +45,67 @@ def values(df: DataFrame, column: str) -> DataFrame:
     return v.select(F.xxhash64("value").alias("id"), "value", "n")
 
 
-def _pairs(v: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids to compare, a < b, with their values."""
-    a, b = v.select(F.col("id").alias("a"), F.col("value").alias("va")), v.select(F.col("id").alias("b"), F.col("value").alias("vb"))
-    if v.count() <= ALL_PAIRS:
-        a = a.repartition(v.sparkSession.sparkContext.defaultParallelism)  # the pairs are work for all cores
-        return a.join(F.broadcast(b), F.col("a") < F.col("b"))  # at most ALL_PAIRS rows
-    words = F.split(X.spaced_key("value"), " ")
-    key = X.key("value")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 2, F.lit(1))), lambda i: F.concat(F.lit("3:"), F.substr(key, i, F.lit(3))))
-    blocks = v.select("id", "value", F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), grams, F.array(F.concat(F.lit("p:"), F.substr(key, F.lit(1), F.lit(4))))))).alias("block"))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= MOST_IN_BLOCK))
-    kept = blocks.join(sizes.select("block"), "block")
-    x, y = kept.select("block", F.col("id").alias("a"), F.col("value").alias("va")), kept.select("block", F.col("id").alias("b"), F.col("value").alias("vb"))
-    return x.join(y, "block").where("a < b").select("a", "va", "b", "vb").distinct()
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often each letter occurs in each normalised text."""
+    out = np.zeros((len(texts), len(_LETTERS)), np.int32)
+    for row, t in zip(out, texts, strict=True):
+        for c in t:
+            row[_LETTERS[c]] += 1
+    return out
 
 
-def links(v: DataFrame, threshold: float, score: Callable[[str, str], float]) -> DataFrame:
-    """(a, b, score) of the pairs that reach the threshold."""
+class _Side:
+    """One chunk of values, by what bounds their similarity to others."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.id, self.value = pdf["id"].to_numpy(np.int64), pdf["value"].tolist()
+        norm = [K.normalize(v) for v in self.value]
+        self.words = [set(t.split()) for t in norm]
+        # the ratio of two texts is at most that of their letters: of all words, and of each word once
+        self.bags = [_counts(norm), _counts([" ".join(w) for w in self.words])]
+        self.sizes = [bag.sum(axis=1) for bag in self.bags]
+        self.having = defaultdict(list)
+        for i, words in enumerate(self.words):
+            for w in words:
+                self.having[w].append(i)
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = [score(x, y) for x, y in zip(pdf["va"], pdf["vb"], strict=True)]
-            pdf = pdf[["a", "b"]].assign(score=s)
-            yield pdf[pdf["score"] >= threshold]
 
-    return _pairs(v).mapInPandas(kernel, "a long, b long, score double")
+def _near(x: _Side, i: int, y: _Side, threshold: float) -> np.ndarray:
+    """Which values of `y` may reach the threshold with value i of `x`."""
+    near = np.zeros(len(y.id), bool)
+    for bag, size, other, sizes in zip(x.bags, x.sizes, y.bags, y.sizes, strict=True):
+        near |= 2 * np.minimum(bag[i], other).sum(axis=1) >= (threshold - 1e-9) * (size[i] + sizes)
+    for w in x.words[i]:
+        near[y.having.get(w, [])] = True
+    return near
+
+
+def links(v: DataFrame, threshold: float, score: Callable[[str, str], float]) -> DataFrame:
+    """(a, b, score) of the pairs a < b of ids that reach the threshold; `score` is at most the similarity."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        x = _Side(pdf[pdf["chunk"] == lo])
+        y = x if lo == hi else _Side(pdf[pdf["chunk"] == hi])
+        out = []
+        for i, (a, va) in enumerate(zip(x.id.tolist(), x.value, strict=True)):
+            for j in np.flatnonzero(_near(x, i, y, threshold)).tolist():
+                b, vb = int(y.id[j]), y.value[j]
+                if lo == hi and b <= a:
+                    continue
+                s = score(va, vb) if a < b else score(vb, va)
+                if s >= threshold:
+                    out.append((min(a, b), max(a, b), s))
+        return pd.DataFrame(out, columns=["a", "b", "score"]).astype({"a": "int64", "b": "int64", "score": "float64"})
+
+    n, cores = v.count(), v.sparkSession.sparkContext.defaultParallelism
+    q = max(1, math.ceil(n / min(MOST_IN_CHUNK, max(LEAST_IN_CHUNK, n // (4 * cores)))))
+    pairs = q * (q + 1) // 2
+    dealt = v.select("id", "value", F.pmod(F.xxhash64("id"), F.lit(q)).cast("int").alias("chunk"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    dealt = dealt.select("id", "value", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    dealt = dealt.repartition(min(pairs, max(4 * cores, pairs // 16)), "lo", "hi")  # a number of its own, so that small tasks stay apart
+    return dealt.groupBy("lo", "hi").applyInPandas(kernel, "a long, b long, score double")
 
 
 def _clusters(df: DataFrame, column: str, threshold: float, score: Callable[[str, str], float]) -> tuple[DataFrame, DataFrame]:

@@ -79,6 +79,34 @@ def test_clusters(spark):
     assert not any("Niger" in r["members"] for r in apart.collect())
 
 
+def test_links_do_not_hang_on_the_size(spark):
+    """Beyond 1,500 values, a pair of which every word and 3-gram is common is linked as it is in a small table."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=12))
+    pair = ["Ahmed Musa", "Musa Ahmed"]
+    many = [*pair, "Kano", "Kino", *(f"ahmed {word()}" for _ in range(320)), *(f"musa {word()}" for _ in range(320)), *(word() for _ in range(1000))]
+    for values in (many[:60], many):
+        v = clusters.values(spark.createDataFrame([(x,) for x in values], "v string"), "v")
+        names = {r["id"]: r["value"] for r in v.collect()}
+        found = {frozenset((names[r["a"]], names[r["b"]])): r["score"] for r in clusters.links(v, 0.72, K.similarity).collect()}
+        assert found[frozenset(pair)] == 1.0 and found[frozenset(("Kano", "Kino"))] == 0.75
+
+
+def test_links_by_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    values = sorted({" ".join("".join(rng.choices("aeknot", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 3))) for _ in range(250)} | {"?", "!!", "no no", "no"})
+    v = clusters.values(spark.createDataFrame([(x,) for x in values], "v string"), "v")
+    rows = sorted((r["id"], r["value"]) for r in v.collect())
+    for threshold in (0.72, 0.85):
+        want = {(a, b): s for k, (a, x) in enumerate(rows) for b, y in rows[k + 1 :] if (s := K.similarity(x, y)) >= threshold}
+        got = clusters.links(v, threshold, K.similarity).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["score"] for r in got} == want
+
+
 def test_embeddings(spark):
     from pyspark.sql import functions as F
 
