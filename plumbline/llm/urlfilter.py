@@ -17,8 +17,6 @@ from plumbline.llm.common import row_key
 from plumbline.plans.shared import materialize
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.005, 0.8, 5
-#: Tokens that a mined rule may combine.
-MOST_TOKENS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = "label=block"
 
@@ -59,9 +57,9 @@ def policy(rules: list[tuple[str, str, str]], host: Column, path: Column) -> tup
     return rule, verdict
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """Rules (rarest, items, confidence, support) from rows (tokens, block): combinations of at most
-    `most_tokens` tokens held by at least min_support of all rows and by min_rows of them, of which
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Rules (rarest, items, confidence, support) from rows (tokens, block): combinations of any
+    number of tokens held by at least min_support of all rows and by min_rows of them, of which
     min_confidence are labelled `block`. A rule is left out if a part of it is one already.
     """
     spark = labelled.sparkSession
@@ -74,7 +72,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if support > 1:
         return empty
     sets = FPGrowth(itemsCol="items", minSupport=support * min_confidence, minConfidence=min_confidence).fit(baskets).freqItemsets
-    sets = materialize(sets.where(F.size("items") <= most_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     plain = sets.where(~F.array_contains("items", _BLOCK))
     blocked = sets.where(F.array_contains("items", _BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", _BLOCK).alias("items"), F.col("freq").alias("hits"))
     rules = plain.join(blocked, "items").where((F.col("hits") >= min_confidence * F.col("freq")) & (F.col("freq") >= min_rows) & (F.col("freq") >= support * n))
@@ -84,7 +82,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = rules.join(covered, "items", "left_anti")
     rare = plain.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     first = rules.select("items", F.explode("items").alias("token")).join(rare, "token").groupBy("items").agg(F.min(F.struct("freq", "token"))["token"].alias("rarest"))
-    return materialize(rules.join(first, "items").select("rarest", "items", "confidence", "support"), "rules")
+    rules = materialize(rules.join(first, "items").select("rarest", "items", "confidence", "support"), "rules")
+    parts_ = rules.select(F.col("rarest").alias("one"), F.col("items").alias("part"))
+    wider = rules.where(F.size("items") > 2).select("items", F.explode("items").alias("one")).join(parts_, "one")
+    wider = wider.where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)).select("items").distinct()
+    return materialize(rules.join(wider, "items", "left_anti").select("rarest", "items", "confidence", "support"), "rules")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -42,6 +42,14 @@ def test_mined_rules_fire(spark):
     assert got[900] == "block" and got[901] == "allow" and all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(200))
 
 
+def test_rules_of_three_tokens(spark):
+    """No pair of the tokens a, b, c reaches the confidence, all three do; wider sets of them are left out."""
+    rows = [(["a", "b", "c", "d", "e"], True)] * 10 + [([*two, "d", "e"], False) for two in (("a", "b"), ("a", "c"), ("b", "c")) for _ in range(10)]
+    rows += [(["x", "y", "z", "u"], True)] * 6 + [(["x", "z", "u"], False)] * 6 + [(["y", "z", "u"], False)] * 6
+    found = {tuple(sorted(r["items"])) for r in urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, block boolean")).collect()}
+    assert found == {("a", "b", "c"), ("x", "y")}
+
+
 def test_urls_against_sql(spark):
     sf = str(DATA / "sf0.01")
     ours, theirs = both(spark, views(sf), QUERIES["op4_url_rules"], ORACLE_SQL["op4_url_rules"], sf)
