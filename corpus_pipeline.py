@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on many sites are cut from all documents but the first; n_chars follows the text."""
-    return linededup.remove_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Lines found on many sites, however short, are cut from all documents but the first; n_chars follows the text."""
+    return linededup.remove_lines(docs, min_chars=1).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

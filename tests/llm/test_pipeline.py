@@ -38,3 +38,9 @@ def test_stages_on_edges(edges, empty, spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, edges, SF).count() <= edges.count()
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_short_boilerplate_lines_are_cut(spark, docs):
+    rows = [(i, f"Read more\nown text of document {i}\n\nShare") for i in range(6)] + [(6, "Log in\nlast"), (7, "Log in\nvery last")]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_boilerplate_lines(spark, docs(rows), SF).collect()}
+    assert out == {i: f"own text of document {i}\n" if 0 < i < 6 else t for i, t in rows}
