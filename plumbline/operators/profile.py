@@ -2,15 +2,17 @@
 
 One aggregation computes every rate of every column, without a shuffle but for the partial sums;
 distinct counts are sketches (`exact` asks for exact ones, which cost a shuffle). An ordered list of
-rules then decides on the driver. Only the look-up of place names needs values: at most `SAMPLE`
-distinct ones of a column that no earlier rule has claimed.
+rules then decides on the driver. Only the look-up of place names needs values: all distinct ones of
+a column that no earlier rule has claimed, resolved in batches and summed up by Spark.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,6 @@ from plumbline.functions.reference import PLACES, STATE_NAMES
 from plumbline.plans.plan import Mapping, Plan
 from plumbline.plans.shared import spread
 
-SAMPLE = 200
-
 # --- Fixed values: patterns and words that decide types. ---
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE = r"^(\+?234|0)[1-9]\d{8,9}$"
@@ -224,19 +224,27 @@ def _ordered(r: dict) -> dict:
 
 
 def place_share(df: DataFrame, columns: list[str], states: list[str] | None = None, places: dict[str, str] | None = None) -> dict[str, float]:
-    """Share of up to SAMPLE distinct values of each column that name a state or a known place."""
+    """Share of the distinct values of each column that name a state or a known place."""
     from plumbline.operators.resolve import EntityResolver
 
     resolver = EntityResolver(states or STATE_NAMES)
     places = PLACES if places is None else places
-    out = {}
-    for c in columns:
-        v = df.select(X.strip(X.string(f"`{c}`")).alias("v")).where(~X.is_missing("v")).distinct()
-        got = [r[0] for r in v.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-        got = [x for x in got if len(re.sub("[^a-z0-9]+", "", x.lower())) >= 3]  # one or two letters are near to too many names
-        known = sum(" ".join(re.sub("[^a-z0-9]+", " ", x.lower()).split()) in places or resolver.resolve(x)[4] in ("high", "review") for x in got)
-        out[c] = known / len(got) if got else 0.0
-    return out
+
+    def known(x: str) -> bool:
+        return " ".join(re.sub("[^a-z0-9]+", " ", x.lower()).split()) in places or resolver.resolve(x)[4] in ("high", "review")
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[[len(re.sub("[^a-z0-9]+", "", x.lower())) >= 3 for x in pdf["v"]]]  # one or two letters are near to too many names
+            yield pd.DataFrame({"column": pdf["column"], "known": pd.Series([known(x) for x in pdf["v"]], pdf.index, bool)})
+
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), X.strip(X.string(f"`{c}`")).alias("v")) for c in columns])
+    values = spread(df.select(F.inline(cells)).where(~X.is_missing("v")).distinct())
+    shares = values.mapInPandas(kernel, "column string, known boolean").groupBy("column").agg(F.avg(F.col("known").cast("double")).alias("share"))
+    found = {r["column"]: r["share"] for r in shares.collect()}  # one row a column
+    return {c: found.get(c, 0.0) for c in columns}
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, gazetteer: bool = True, exact: bool = False) -> list[ColumnProfile]:

@@ -107,6 +107,16 @@ def test_links_by_brute_force(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]): r["score"] for r in got} == want
 
 
+def test_place_share_counts_all_values(spark):
+    from plumbline.functions.reference import STATE_NAMES
+
+    for n in (150, 1000):
+        names = [f"{STATE_NAMES[k % 30]}{'!' * (1 + k // 30)}" if k % 100 < 57 else f"zq{k}xw vv{k}kj" for k in range(n)]
+        df = spark.createDataFrame([(x, "..") for x in names], "v string, w string")
+        want = sum(k % 100 < 57 for k in range(n)) / n
+        assert profile.place_share(df, ["v", "w"]) == {"v": pytest.approx(want), "w": 0.0}
+
+
 def test_embeddings(spark):
     from pyspark.sql import functions as F
 
