@@ -11,7 +11,7 @@ Only hashes are shuffled to find the lines. The text moves once, to meet its rem
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import row_key
@@ -31,7 +31,8 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(k1, k2, doc_id, site, line, h1, h2): every line long enough, by its hash."""
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("site"))
-    each = slim.select("doc_id", "site", k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    keyed = slim.select("doc_id", "text", "site", k1.alias("k1"), k2.alias("k2"))  # before the lines: once a text, not once a line
+    each = keyed.select("doc_id", "site", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     each = each.select("doc_id", "site", "k1", "k2", "line", F.btrim("raw", F.lit(" \t\r\f\x0b")).alias("raw")).where(F.length("raw") >= min_chars)
     return each.select("doc_id", "site", "k1", "k2", "line", F.xxhash64(F.lit(17), "raw").alias("h1"), F.xxhash64("raw", F.lit(91)).alias("h2"))
 
@@ -69,7 +70,13 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
     k1, k2 = row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     met = docs.withColumns({"__h1": k1, "__h2": k2}).join(gone, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+
+    def left(lines: Column) -> Column:
+        """What stays of the lines, in time linear in their number: a set difference of places, then one look-up each."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    # the transform binds the lines, so that the text is split once and not for every place
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.transform(F.array(parts), left)[0])
     counts = {"_n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
     return met.withColumns(counts | {"text": text}).drop("__h1", "__h2", "__k1", "__k2", "__gone")

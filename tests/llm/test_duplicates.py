@@ -193,6 +193,15 @@ def test_line_edges(edges, empty):
     assert linededup.remove_lines(empty).count() == 0
 
 
+def test_a_text_of_200_000_lines(spark):
+    """The work is linear in the lines of a text: looking each one up among the removed would take hours."""
+    menu = [f"m{k}" for k in range(100_000)]
+    rows = [(0, "\n".join(menu), "s0")] + [(i, "\n".join(x for k, m in enumerate(menu) for x in (m, f"own {i} {k}")), f"s{i}") for i in range(1, 5)]
+    out = linededup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 5, min_chars=1)
+    got = {r["doc_id"]: (r["_n_removed"], r["text"]) for r in out.collect()}
+    assert got == {0: (0, rows[0][1])} | {i: (100_000, "\n".join(f"own {i} {k}" for k in range(100_000))) for i in range(1, 5)}
+
+
 # --- sentence spans ---
 def mixed(word):
     full, h, p = (1 << 64) - 1, 0, 1
