@@ -19,8 +19,8 @@ from plumbline.plans.shared import materialize
 
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 5
-#: Lines shorter than this many characters are never removed.
-MIN_CHARS = 12
+#: Lines shorter than this many characters are never removed: only blank ones.
+MIN_CHARS = 1
 #: log2 of a sketch's registers: a standard error of 1.04 / sqrt(2 ** LG_K), 3.25 %.
 LG_K = 10
 #: Estimates this far from the threshold, over seven standard errors, are decided without a count.
