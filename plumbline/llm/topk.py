@@ -9,7 +9,9 @@ score known. Survivors are compacted before the next block. Integers below 2 **
 doubles, so scores and bounds are exact but for the root in a mass, which is rounded up.
 
 A task keeps k results for each query of a block; these are merged by aggregation. What is
-broadcast at once is `ROUND_QUERIES` queries at most; more are searched in further rounds.
+broadcast at once is `ROUND_QUERIES` and `ROUND_BYTES` at most (both are reached at 64 dimensions); more are
+searched in further rounds, each one scan of the candidates whose k best of a task are appended to
+one written table. The comparisons outweigh the scans: a vector read once meets 131,072 queries.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.plans.shared import materialize
+from plumbline.plans.shared import materialize, new_path
 
 K, SCALE, EVERY = 5, 256, 50
-#: Queries in a pack, queries broadcast at once, candidates in a batch, dimensions accumulated at a time.
-PACK, ROUND_QUERIES, BATCH, DIMS = 1024, 16_384, 4096, 16
+SCHEMA = "query_id long, vec_id long, score long"
+#: Queries in a pack, candidates in a batch, dimensions accumulated at a time.
+PACK, BATCH, DIMS = 1024, 4096, 16
+#: Queries and bytes of packed queries that are broadcast at once, at most.
+ROUND_QUERIES, ROUND_BYTES = 131_072, 64 << 20
 
 
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,29 +156,35 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     all returned. Vectors that are null or hold a null or non-finite component, and rows of null
     id, take no part; only vectors of one length are compared. A vector repeated under one id
     counts once; a query id repeated with different vectors is searched by each, and keeps the best
-    of all. Other columns are ignored; an empty table gives an empty result.
+    of all. Scores are exact up to 2 ** 53; beyond, they are the nearest doubles, as long as they
+    fit a long. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     queries = slim.where(F.col("vec_id") % every == 0)
     packs = materialize(queries.mapInArrow(lambda b: _pack(b, PACK), "dims int, n int, ids binary, matrix binary").withColumn("pack", F.monotonically_increasing_id()), "packs")
-    sizes = sorted((r["pack"], r["n"]) for r in packs.select("pack", "n").collect())  # one number for each 1024 queries
-    rounds, load = [], ROUND_QUERIES
-    for pack, n in sizes:
-        if load + n > ROUND_QUERIES:
+    sizes = sorted((r["pack"], r["n"], r["size"]) for r in packs.select("pack", "n", (F.length("ids") + F.length("matrix")).alias("size")).collect())  # three numbers for each 1024 queries
+    rounds, queries_held, bytes_held = [], 0, 0
+    for pack, n, size in sizes:
+        if not rounds or queries_held + n > ROUND_QUERIES or bytes_held + size > ROUND_BYTES:
             rounds.append([])
-            load = 0
+            queries_held = bytes_held = 0
         rounds[-1].append(pack)
-        load += n
-    found = None
-    for numbers in rounds:
-        held = [tuple(r) for r in packs.where(F.col("pack").isin(numbers)).select("dims", "n", "ids", "matrix").collect()]
-        shared = spark.sparkContext.broadcast(held)
-        part = slim.mapInArrow(lambda b, shared=shared: _search(b, shared, k), "query_id long, vec_id long, score long")
-        part = materialize(part, "top") if len(rounds) > 1 else part
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        queries_held += n
+        bytes_held += size
+    if not rounds:
+        return spark.createDataFrame([], SCHEMA.replace("query_id long,", "query_id long, rank int,"))
+    best_of = lambda shared: slim.mapInArrow(lambda b: _search(b, shared, k), SCHEMA)
+    held = lambda numbers: spark.sparkContext.broadcast([tuple(r) for r in packs.where(F.col("pack").isin(numbers)).select("dims", "n", "ids", "matrix").collect()])
+    if len(rounds) == 1:
+        found = best_of(held(rounds[0]))
+    else:
+        path = new_path(spark, "top")
+        for numbers in rounds:
+            shared = held(numbers)
+            best_of(shared).write.mode("append").parquet(path)
+            shared.destroy()
+        found = spark.read.schema(SCHEMA).parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
