@@ -2,7 +2,9 @@
 
 Every round is two joins of (node, smallest neighbour) with the edges; the driver sees only
 a count and a checksum. Each round's edges are written to the shared folder, so lineage does
-not grow and a lost executor repeats one round at most.
+not grow and a lost executor repeats one round at most. The minima are written too before they
+are joined: both sides of a join then come from an exchange, and the edges of a hub, however many,
+are split over tasks (or the minima are broadcast, where their written size allows it).
 """
 
 from __future__ import annotations
@@ -15,17 +17,18 @@ from plumbline.plans.shared import drop, materialize
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new edges, the written minima that they read)"""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     # every edge now points from its larger to its smaller end
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "minima")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -45,10 +48,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        large = materialize(_large_star(now), "edges")
-        small = materialize(_small_star(large), "edges")
+        star, least = _large_star(now)
+        large = materialize(star, "edges")
         drop(now)
+        drop(least)
+        star, least = _small_star(large)
+        small = materialize(star, "edges")
         drop(large)
+        drop(least)
         now, before, state = small, state, _state(small)
         if state == before:
             break

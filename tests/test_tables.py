@@ -131,3 +131,22 @@ def test_components_and_ranks(spark):
     assert connected_components(chain.limit(0)).count() == 0
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     assert all(r["v"] + 1 == r["n"] for r in numbered(df, [F.asc("v")], "n").collect())
+
+
+def test_hub_edges_are_split_over_tasks(spark):
+    """A third of all edges at one node: the join with the minima must not be one task's."""
+    from plumbline.plans import components
+
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        hub, rest = spark.range(1, 100_001, 1, 8), spark.range(1_000_000, 1_040_000, 1, 8).selectExpr("id + 1 AS a", "id AS b")
+        for star, spokes in ((components._large_star, hub.selectExpr("id AS a", "0L AS b")), (components._small_star, hub.selectExpr("200000L AS a", "id AS b"))):
+            out, _ = star(spokes.unionByName(rest))
+            out.collect()
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
