@@ -4,15 +4,18 @@ A tolerant parser builds the tree of block elements; inline elements belong to t
 them and count as its tags. What is never article text is left out of the tree's text: scripts,
 styles, forms, navigation, asides, page headers and footers, hidden elements, and elements whose
 class, id or role names a menu, sidebar, notice, advert or comments, unless they hold most of
-the page's text.
+the page's text. A class names such a thing if it is one of the words of `CHROME`, or made of them and of
+words for boxes (`cookie-banner`, `ad_slot-2`); a paragraph or another element of running text only
+if it is such a word (`ad`, not `ad-note`).
 
 For every node the composite density is its characters per tag, adjusted by the share of its
 characters and tags that are links; a node's density sum adds up the densities of its children
-(text of its own counts as a child). The node of the largest sum is the core; the least density on the
-path from it to the body is the threshold, and every other node outside it that reaches the
-threshold gives the largest-sum node of its own subtree too. If the core lies in an article
-element, that article is the main text, so its title and short paragraphs stay; else the text runs
-over all chosen nodes, and the headings between them.
+(text of its own, with the inline elements in it, counts as a child). The node of the largest sum is
+the core; the least density on the path from it to the body is the threshold, and every other node
+outside it that reaches the threshold gives the largest-sum node of its own subtree too. The main text
+runs over all chosen nodes, and the headings between them. Only then, where chosen nodes lie in
+article elements, is each of them widened to its outermost article, so that titles and short
+paragraphs beside it stay: density alone picks the articles.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +49,13 @@ CHROME = frozenset(
     "related recommended rail reply replies respond search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget widgets "
     "contentinfo complementary alert dialog toc teaser teasers".split()
 )
+#: Words that only say what kind of box it is: beside a word of CHROME they change nothing.
+BOXES = frozenset(
+    "area bar block blocks bottom box boxes btn button buttons card cards column columns container content desktop fixed global group holder icon icons inner item items left link links list "
+    "main middle mobile module outer page panel placeholder posts primary right row secondary section site slot slots static sticky top unit units wrap wrapper zone".split()
+)
+#: Elements of running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 
 _TOKEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/>]|$)", re.I)
@@ -54,7 +64,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "chrome", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "kids", "chrome", "chars", "tags", "own_tags", "link_chars", "link_tags", "own_link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, chrome: bool):
         self.tag, self.up, self.kids, self.chrome = tag, up, [], chrome  # kids: nodes, and (text, in a link) of the block's own
@@ -70,8 +80,12 @@ def _is_chrome(tag: str, attrs: str, inside_article: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
-        if name in ("class", "id", "role") and any(p.lower() in CHROME for p in _PART.findall(value)):
-            return True
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                parts = [p.lower() for p in _PART.findall(word)]
+                named = [p for p in parts if p in CHROME or p == "header" and not inside_article]
+                if named and (len(parts) == 1 or tag not in PROSE and all(p in CHROME or p == "header" or p in BOXES or p.isdigit() for p in parts)):
+                    return True
     return False
 
 
@@ -90,12 +104,12 @@ class Frame:
 def parse(page: str) -> Node:
     """The tree of block elements of a page. Every step takes time in proportion to what it closes."""
     root = Node("#page", None, False)
-    stack, opened = [Frame("#page", root, False)], Counter()
+    stack, opened = [Frame("#page", root, False)], defaultdict(list)  # of each element name the places in the stack where it is open
     at, n = 0, len(page)
     last = page.rfind(">") + 1  # no tag can end beyond it, so none is looked for there
 
     def pop() -> None:
-        opened[stack.pop().tag] -= 1
+        opened[stack.pop().tag].pop()
 
     while at < n:
         token = _TOKEN.search(page, at, last) if at < last else None
@@ -126,15 +140,12 @@ def parse(page: str) -> Node:
             pop()
         elif tag in IMPLIED:
             names, stops = IMPLIED[tag]
-            if any(opened[x] for x in names):
-                k = len(stack) - 1
-                while k and stack[k].tag not in stops and stack[k].tag not in names and len(stack) - k < 8:
-                    k -= 1
-                if k and stack[k].tag in names:
-                    while len(stack) > k:
-                        pop()
+            nearest = max((opened[x][-1] for x in names if opened[x]), default=-1)
+            if nearest > max((opened[x][-1] for x in stops if opened[x]), default=-1):
+                while len(stack) > nearest:
+                    pop()
         top = stack[-1]
-        inside = opened["article"] + opened["main"] > 0
+        inside = bool(opened["article"] or opened["main"])
         if tag in INLINE and not (attrs and tag not in VOID and _is_chrome(tag, attrs, inside)):
             top.node.tags += 1
             top.node.link_tags += tag == "a"
@@ -155,8 +166,8 @@ def parse(page: str) -> Node:
                 node.kids.append((page[at:stop], False))
             at = n if not close else (page.find(">", stop) + 1 or n)
         elif not attrs.endswith("/") or tag in CLOSES_P:
+            opened[tag].append(len(stack))
             stack.append(Frame(tag, node, top.in_link()))
-            opened[tag] += 1
     return root
 
 
@@ -189,6 +200,7 @@ def _spare(nodes: list[Node]) -> None:
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         node.chars = node.link_chars = 0
+        node.own_tags, node.own_link_tags = node.tags, node.link_tags
         for k in node.kids:
             if isinstance(k, Node):
                 if not k.chrome:
@@ -208,7 +220,7 @@ def _measure(nodes: list[Node]) -> None:
         text = sum(_size(k[0]) for k in own)
         node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.chrome)
         if text:
-            node.total += _density(text, 1, sum(_size(k[0]) for k in own if k[1]), sum(k[1] for k in own), share)
+            node.total += _density(text, node.own_tags, sum(_size(k[0]) for k in own if k[1]), node.own_link_tags, share)
 
 
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -218,11 +230,11 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / max(1, tags) * math.log1p(chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)) / max(1.0, base)
 
 
-def _within(node: Node | None, names: tuple[str, ...]) -> Node | None:
-    """The outermost element of these names around `node`, itself included."""
+def _article(node: Node | None) -> Node | None:
+    """The outermost article around `node`, itself included."""
     found = None
     while node:
-        found = node if node.tag in names else found
+        found = node if node.tag == "article" else found
         node = node.up
     return found
 
@@ -240,9 +252,6 @@ def _chosen(nodes: list[Node]) -> list[Node]:
     core = max(shown, key=lambda x: x.total)
     if not core.total:
         return []
-    article = _within(core, ("article",)) or _within(core, ("main",))
-    if article:
-        return [article]
     threshold, up = core.density, core
     while up is not body and up.up:
         up = up.up
@@ -269,7 +278,8 @@ def _chosen(nodes: list[Node]) -> list[Node]:
             marked.append(core)
             continue
         todo += [k for k in node.kids if isinstance(k, Node)]
-    return marked or [core]
+    wide = [_article(node) or node for node in marked or [core]]
+    return list(dict.fromkeys(wide))
 
 
 def _blocks(top: Node, wanted: set | None) -> list[str]:

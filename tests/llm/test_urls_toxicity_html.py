@@ -159,6 +159,71 @@ def test_broken_pages_take_little_time(page):
     assert isinstance(htmltext.extract(page), str)
 
 
+def test_articles_by_density_alone(spark):
+    """With plain div elements in place of article elements, the density sums pick the same texts."""
+    pages = [r["html"] for r in spark.read.parquet(str(DATA / "sf0.01/pages.parquet")).select("html").collect()]
+    for page in pages:
+        assert htmltext.extract(page.replace("<article>", "<div>").replace("</article>", "</div>")) == article(page)
+
+
+@pytest.mark.parametrize("name", ["related-note", "share-note", "alert-note", "skip-note", "dialog-note", "teaser-note"])
+@pytest.mark.parametrize("tag", ["p", "div", "section"])
+def test_a_class_that_only_holds_a_listed_word_stays(name, tag):
+    page = f"<body><nav>menu</nav><article><h1>T</h1><p>{LONG}</p><{tag} class='{name}'>A short remark.</{tag}><p>{LONG}</p><div class='{name.split('-')[0]}-box'>gone</div><p class='ad'>gone</p></article></body>"
+    assert htmltext.extract(page) == f"T\n{LONG.strip()}\nA short remark.\n{LONG.strip()}"
+
+
+def test_parts_in_sibling_articles():
+    part = lambda k: f"<article><h2>Part {k}</h2><p>{k} {LONG}</p><p>So {k}.</p></article>"
+    page = f"<body><div class='site-header'><a href=/>Home</a></div><div>{part(1)}{part(2)}{part(3)}</div><div class=sidebar>x</div></body>"
+    assert htmltext.extract(page) == "\n".join(f"Part {k}\n{k} {LONG.strip()}\nSo {k}." for k in (1, 2, 3))
+
+
+def test_items_close_at_any_depth():
+    for depth in (3, 7, 8, 9, 40):
+        tree = htmltext.parse("<ul><li>" + "<div>" * depth + "one<li>two</ul>")
+        ul = tree.kids[0]
+        assert [k.tag for k in ul.kids] == ["li", "li"], depth
+
+
+def test_densities_by_brute_force():
+    """Densities, their sums and the core of random trees, computed top down by recursion over the tree."""
+    rng = np.random.default_rng(12)
+
+    def random_page(depth):
+        out = []
+        for _ in range(int(rng.integers(1, 5))):
+            kind = int(rng.integers(0, 4)) if depth else 0
+            words = " ".join("w" * int(rng.integers(1, 9)) for _ in range(int(rng.integers(1, 30))))
+            out.append(words if kind == 0 else f"<a href=x>{words}</a>" if kind == 1 else f"<div>{random_page(depth - 1)}</div>")
+        return "".join(out)
+
+    def texts(node):  # (text, in a link) of the node and all below it
+        return [t for k in node.kids for t in (texts(k) if isinstance(k, htmltext.Node) else [k])]
+
+    def below(node):
+        return [x for k in node.kids if isinstance(k, htmltext.Node) for x in [k, *below(k)]]
+
+    def density(kids, inline, links, body):
+        chars, linked = sum(len(" ".join(t.split())) for t, _ in kids), sum(len(" ".join(t.split())) for t, a in kids if a)
+        if not chars:
+            return 0.0
+        share = sum(len(" ".join(t.split())) for t, a in body if a) / max(1, sum(len(" ".join(t.split())) for t, _ in body))
+        base = np.log(chars / max(1, chars - linked) * linked + share * chars + np.e)
+        return chars / max(1, inline) * np.log(1 + chars / max(1, linked) * max(1, inline) / max(1, links)) / max(1.0, base)
+
+    for _ in range(40):
+        nodes = htmltext._order(htmltext.parse("<body>" + random_page(4) + "</body>"))
+        own = {x: (x.tags, x.link_tags) for x in nodes}
+        htmltext._measure(nodes)
+        body = texts(next(x for x in nodes if x.tag == "body"))
+        whole = {x: density(texts(x), sum(own[y][0] + 1 for y in below(x)) + own[x][0], own[x][1] + sum(own[y][1] for y in below(x)), body) for x in nodes}
+        for x in nodes:
+            assert x.density == pytest.approx(whole[x])
+            mine = [k for k in x.kids if not isinstance(k, htmltext.Node)]
+            assert x.total == pytest.approx(sum(whole[k] for k in x.kids if isinstance(k, htmltext.Node)) + density(mine, *own[x], body))
+
+
 def test_html_table_edges(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<p>" + "w " * 100_000 + "</p>")]
     pages = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
