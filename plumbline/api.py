@@ -106,7 +106,7 @@ def clean(spark: SparkSession, path: str, region: str = "GENERIC", rename: dict[
 def structure(df: DataFrame) -> dict:
     """Rows, columns and, for each, its type, predicted field and domain."""
     found = profile(df)
-    domains = Domains()
+    domains = Domains(spark=df.sparkSession)
     fields = {f["column"]: f for f in headers.predict_fields(found)}
     columns = [{**fields[p.column], "semantic_type": p.semantic_type, "domain": domains.detect_column(df, p.column) if p.semantic_type in ("geo", "categorical", "gender") else None} for p in found]
     return {"rows": df.count(), "columns": columns}

@@ -91,9 +91,9 @@ def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transformed(read(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw", "numeric")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_quantity, {_NUM} AS value, false AS flagged, '' AS reason FROM (SELECT *, l_extendedprice AS x FROM lineitem WHERE l_linenumber = 1)")
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity, {_NUM} AS value, false AS flagged, '' AS reason FROM (SELECT *, l_extendedprice AS x FROM lineitem)")
 def numeric_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    line = read(spark, sf_dir, "lineitem")
     return transformed(line.select("l_orderkey", "l_linenumber", "l_quantity", F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("raw")), "raw", "numeric")
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from plumbline.operators.domains import Admin, Domains
+from plumbline.operators.domains import Domains, Places
 from plumbline.operators.duplicates import duplicate_groups
 from plumbline.operators.profile import profile
 from plumbline.operators.quality import scores
@@ -23,10 +23,10 @@ def test_countries(spark):
 
 
 def test_states_and_areas():
-    r = EntityResolver(Admin().state_of.values())
+    r = EntityResolver(Places().official["state"].values())
     assert rate([("kano", "KANO"), ("Kastina", "KATSINA"), ("Akwaibom", "AKWA IBOM"), ("Oyo state", "OYO"), ("Ibadan", None), ("xyz", None)], lambda v: r.resolve(v)[1]) >= 0.8
-    a = Admin()
-    assert rate([("Zaria", "lga"), ("Zaria LGA", "lga"), ("Kano", "is_state"), ("Somewhere", "unknown")], lambda v: a.check_area(v)["kind"]) == 1.0
+    a = Places()
+    assert rate([("Zaria", "lga"), ("Zaria LGA", "lga"), ("Kano", "is_state"), ("Somewhere", "unknown")], lambda v: a.check(v, "lga")["kind"]) == 1.0
 
 
 @pytest.mark.parametrize(("dates", "order"), [(["25/12/1991", "13/1/1990", "1/13/90"], "DMY"), (["12/25/1991", "1/30/1990"], "MDY"), (["1990/1/2", "1991/12/25"], "YMD"), (["1/2/1990", "3/4/1991"], None)])

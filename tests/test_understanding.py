@@ -1,5 +1,6 @@
 """Profiles, resolution, clustering, domains, corrections, headers, the classifier; and the quality floor."""
 
+import numpy as np
 import pytest
 
 from plumbline.functions import kernels as K
@@ -130,20 +131,86 @@ def test_domains_and_admin():
     assert d.canonical("country", "NGA") == "Nigeria" and d.canonical("country", "naija") == "Nigeria" and d.same("country", "Niger", "Nigeria") is False
     assert d.detect(["male", "F", "woman"], "Sex") == "sex" and d.detect(["zzz"]) is None
     assert d.resolve("sex", "boy") == ("Male", True)
-    a = domains.Admin()
-    assert a.check_area("Zaria Local Government Area")["kind"] == "lga" and a.check_area("Kano")["kind"] == "is_state"
-    assert a.check_state("Zaria")["kind"] == "is_lga" and a.check_state("Kastina")["suggestion"] == "KATSINA"
-    assert a.check_area("Nowhere at all")["kind"] == "unknown"
+    a = domains.Places()
+    assert a.check("Zaria Local Government Area", "lga")["kind"] == "lga" and a.check("Kano", "lga")["kind"] == "is_state"
+    assert a.check("Zaria", "state")["kind"] == "is_lga" and a.check("Kastina", "state")["suggestion"] == "KATSINA"
+    assert a.check("Nowhere at all", "lga")["kind"] == "unknown"
 
 
 def test_corrections(tmp_path):
-    store = knowledge.CorrectionStore(user_path=tmp_path / "u.json")
-    store.conflicts["state"] = {"abujajos": ["FCT", "PLATEAU"]}
-    assert store.lookup("state", "Abuja(Jos)") == ("conflict", ["FCT", "PLATEAU"])
-    store.learn("state", "Port Harcourt", "RIVERS")
-    assert knowledge.CorrectionStore(user_path=tmp_path / "u.json").lookup("state", "PORT-harcourt (x)") == ("canonical", "RIVERS")
-    store.learn("state", "Abuja(Jos)", "FCT")
-    assert store.lookup("state", "Abuja(Jos)") == ("canonical", "FCT") and store.lookup("state", "") == (None, None)
+    said = knowledge.Corrections([knowledge.Entry("state", "abujajos", ("FCT", "PLATEAU"))], path=tmp_path / "u.jsonl")
+    assert said.answers("state", "Abuja(Jos)") == ("FCT", "PLATEAU")
+    said.say("state", "Port Harcourt", "RIVERS")
+    assert knowledge.Corrections(path=tmp_path / "u.jsonl").answers("state", "PORT-harcourt (x)") == ("RIVERS",)
+    said.say("state", "Abuja(Jos)", "FCT")
+    assert said.answers("state", "Abuja(Jos)") == ("FCT",) and said.answers("state", "") == ()
+    said.say("state", "Port Harcourt")
+    assert said.answers("state", "Port Harcourt") == () and said.settled("state") == {"abujajos": "FCT"}
+
+
+def test_seeded_corrections_as_a_table(spark, tmp_path):
+    (tmp_path / "seed.json").write_text('{"confirmed": {"state": {"uyo": "AKWA IBOM", "jos": "PLATEAU"}}, "conflicts": {"state": {"abujajos": ["FCT", "PLATEAU"]}}}')
+    said = knowledge.Corrections(knowledge.seeds(tmp_path / "seed.json"))
+    said.say("state", "Jos", "PLATEAU STATE")
+    log = said.log(spark)
+    df = spark.createDataFrame([("Uyo (town)", 1), ("JOS", 2), ("Abuja(Jos)", 3), (None, 4), ("else", 5), ("", 6)], "v string, key int")
+    got = {r["key"]: (r["known_kind"], r["known_canonical"], r["known_candidates"]) for r in knowledge.known(df, "v", "state", log).collect()}
+    assert got[1] == ("canonical", "AKWA IBOM", ["AKWA IBOM"]) and got[2][1] == "PLATEAU STATE" and got[3] == ("conflict", None, ["FCT", "PLATEAU"])
+    assert got[4] == got[5] == got[6] == (None, None, None)
+    assert [tuple(r) for r in knowledge.counts(log).collect()] == [("state", 2, 1)]
+
+
+def test_places_as_a_table(spark):
+    values = ["Zaria LGA", "Kano", "Nowhere at all", "Kachea", "Sabon Gari / Other", " ", None, "Kastina"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for level in ("lga", "state"):
+        got = {r["value"]: {k: r[k] for k in ("kind", "canonical", "suggestion", "note")} for r in domains.check_places(df, "v", level).collect()}
+        assert got == {v: domains.Places().check(v, level) for v in values if v and v.strip()}
+
+
+def test_currencies_countries_and_subdivisions(spark):
+    codes = {"NG-KN": "Kano", "NG-KD": "Kaduna", "US-WA": "Washington", "XX-WA": "washington"}
+    d = domains.Domains(spark=spark, subdivisions=codes)
+    assert d.canonical("currency", "ngn") == "NGN" and d.canonical("currency", "US Dollar") == "USD" and d.canonical("currency", "840") == "USD" and d.canonical("currency", "shells") is None
+    assert d.canonical("country", "BRA") == "Brazil" and d.canonical("country", "NG") == "Nigeria" and d.canonical("country", "brazil") == "Brazil"
+    assert d.canonical("subdivision", "KANO") == "NG-KN" and d.resolve("subdivision", "kano") == ("Kano", True)
+    assert d.resolve("subdivision", "Washington") == ("Washington", False) and d.same("subdivision", "Washington", "WASHINGTON") and d.same("subdivision", "Kano", "Kaduna") is False
+    assert d.detect(["NGN", "usd", "Euro", "?"], "Curr") == "currency" and d.detect(["a", "b"], "Curr") is None
+    df = spark.createDataFrame([(x,) for x in ["NGN", "USD", "EUR", "zzz", None, ""]], "Currency string")
+    assert d.detect_column(df, "Currency") == "currency" and d.looks_like(df, "Currency", "currency") == 0.75
+    assert d.looks_like(df.limit(0), "Currency", "currency") == 0.0 and d.detect_column(df.limit(0), "Currency") is None
+
+
+def test_predict_file(spark):
+    said = knowledge.Corrections()
+    for raw, state in (("Port Harcourt", "RIVERS"), ("Ibadan", "OYO"), ("Onitsha", "ANAMBRA")):
+        said.say("state", raw, state)
+    said.say("state", "Abuja(Jos)", "FCT", "PLATEAU")
+    places = ["Port Harcourt", "Ibadan", "Onitsha", "Lagos", "Abuja(Jos)", "Lagos", "Lagos", "Lagos"]
+    rows = [(str(10_000_000_000 + i), ["M", "F", "1", "2"][i % 4], ["a@x.com", "b@y.org", "bad", "c@z.net"][i % 4], places[i % 8]) for i in range(40)]
+    got = {f["column"]: f for f in headers.predict_file(spark.createDataFrame(rows, "NIN string, Sex string, Email string, `State of Origin` string"), said)}
+    assert got["Sex"]["name"] == "Gender" and got["Sex"]["type"] == "gender" and got["Email"]["type"] == "email"
+    assert got["NIN"]["type"] == "identifier" and any("NIN" in q and "BVN" in q for q in got["NIN"]["questions"])
+    state = got["State of Origin"]
+    assert state["name"] == "State" and state["type"] == "geo" and state["details"]["learned"] == 3 and state["details"]["conflicts"] == [("Abuja(Jos)", ["FCT", "PLATEAU"])]
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_close_pairs_by_brute_force(spark, chunk):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(40)] + [(100, [0.0, 0.0, 0.0]), (101, None), (None, [1.0, 0.0, 0.0]), (102, [1.0, None, 0.0]), (103, [1.0, 2.0]), (104, [2.0, 4.1])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, vector array<double>, a string")
+    good = {i: np.array(v) for i, v in rows if i is not None and v and all(x is not None for x in v) and any(v)}
+    near = lambda a, b: len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.62
+    assert {(r["a"], r["b"]) for r in embeddings.close_pairs(df, chunk=chunk).collect()} == {(a, b) for a in good for b in good if a < b and near(a, b)}
+    asked = embeddings.close_pairs(df, queries=df.where("id % 5 = 0"), chunk=chunk)
+    assert {(r["a"], r["b"]) for r in asked.collect()} == {(a, b) for a in good for b in good if a != b and a % 5 == 0 and near(a, b)}
+    assert embeddings.close_pairs(df.limit(0)).count() == 0
+
+
+def test_semantic_pairs(spark):
+    df = spark.createDataFrame([(x,) for x in ["Ikeja market", "Ikeja markt", "Groceries", "Provisions", None, " "]], "v string")
+    assert [(r["a"], r["b"]) for r in embeddings.semantic_pairs(df, "v").collect()] == [("Ikeja market", "Ikeja markt")]
 
 
 def test_headers():
