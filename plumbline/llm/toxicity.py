@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Fitting (driver, a bounded sample of labelled rows): near copies in the sample are dropped; words,
+Fitting (a bounded number of labelled rows, whole texts): near copies in the sample are dropped; words,
 their prefixes and suffixes become features if toxic documents hold them far more often than
 others, by a likelihood-ratio test. Words of toxic documents that carry such a feature are the
 tokens labelled toxic, all others are not, and a two-state chain is fitted to these tokens by
 regularised likelihood. The document score is a logistic regression on what the marginals add up
-to.
+to. Texts are read by tasks only; the driver gets counts, segments as numbers, and sums.
 
 Scoring (executors, whole texts): the scores of a word depend on the word alone, and all words
 without a feature score alike, so the forward and backward passes cross a run of such words by a
@@ -22,21 +22,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import bounded, row_key, runs
 from plumbline.llm.decontaminate import Grams
 from plumbline.llm.words import ALNUM, mix
+from plumbline.plans.shared import drop, materialize
 
-#: The most labelled rows that are fitted to, and the most bytes of each one's text; longer ones are not sampled.
-TRAIN_ROWS, TRAIN_BYTES = 8_000, 16_384
+#: The most labelled rows that are fitted to, of texts of any length; and the parts they are dealt to.
+TRAIN_ROWS, TRAIN_PARTS = 8_000, 32
 #: Score from which on a document is predicted toxic.
 THRESHOLD = 0.3
 #: A feature's least likelihood ratio statistic, over twice the log of the candidates; and how many times as common it is in toxic documents.
 LEAST_RATIO, LEAST_LIFT = 4.0, 4.0
-#: Words in a training segment, and how many segments without a feature are used.
-SEGMENT, PLAIN_SEGMENTS = 32, 4_000
+#: Words in a training segment.
+SEGMENT = 32
+#: Words beyond this many characters are named by a hash of theirs.
+NAMED = 40
 #: Words whose scores a worker remembers.
 REMEMBER = 1 << 18
 
@@ -49,7 +53,7 @@ def lower(text: str) -> str:
 
 
 def features(word: str) -> list[str]:
-    out = [f"w:{word}"] if len(word) <= 40 else []
+    out = [f"w:{word}" if len(word) <= NAMED else f"h:{xxhash.xxh64_hexdigest(word.encode())}"]
     out += [f"p{n}:{word[:n]}" for n in (4, 5, 6) if len(word) > n]
     return out + [f"s{n}:{word[-n:]}" for n in (4, 5) if len(word) > n]
 
@@ -154,25 +158,27 @@ def summed(marginal: list[float]) -> tuple[float, float]:
     return min(20.0, sum(-math.log(max(1e-9, 1 - m)) for m in marginal)), max(marginal, default=0.0)
 
 
-def _distinct(texts: list[str]) -> list[int]:
-    """Indices of texts without the near copies of earlier ones: those that share 3 of 8 minima of 5-word shingles."""
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, least): 8 minima of the hashes of each text's 5-word shingles; none for a text of fewer words."""
+    for batch in runs(batches):
+        w = Grams(batch.column(1), ALNUM)
+        grams, out = w.grams(5), []
+        for a, b in zip(w.first.tolist(), w.first[1:].tolist(), strict=False):
+            own = grams[a : b - 4] if b - a >= 5 else grams[:0]
+            out.append([int(mix(own ^ np.uint64(0x9E37 * (s + 1))).min().view(np.int64)) for s in range(8)] if len(own) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "least"])
+
+
+def _apart(rows: list[tuple[int, int, list[int]]]) -> dict[int, int]:
+    """{doc_id: toxic} without the near copies of earlier texts: those that share 3 of the 8 minima."""
     seen: list[dict] = [{} for _ in range(8)]
-    out = []
-    for first in range(0, len(texts), 512):
-        part = texts[first : first + 512]
-        w = Grams(pa.array(part), ALNUM)
-        grams = w.grams(5)
-        for i in range(len(part)):
-            own = grams[w.first[i] : max(w.first[i] + 1, w.first[i + 1] - 4)] if w.first[i + 1] > w.first[i] else grams[:0]
-            if w.first[i + 1] - w.first[i] < 5 or not len(own):
-                out.append(first + i)
-                continue
-            minima = [int(mix(own ^ np.uint64(0x9E37 * (s + 1))).min()) for s in range(8)]
-            like = Counter(seen[s][m] for s, m in enumerate(minima) if m in seen[s])
-            if not like or max(like.values()) < 3:
-                out.append(first + i)
-                for s, m in enumerate(minima):
-                    seen[s][m] = first + i
+    out = {}
+    for doc_id, toxic, least in sorted(rows):
+        like = Counter(seen[s][m] for s, m in enumerate(least) if m in seen[s])
+        if not like or max(like.values()) < 3:
+            out[doc_id] = int(toxic)
+            for s, m in enumerate(least):
+                seen[s][m] = doc_id
     return out
 
 
@@ -183,66 +189,89 @@ def _ratio(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * (term(a, n1, a / n1) + term(b, n0, b / n0) - term(a, n1, p) - term(b, n0, p))
 
 
-def _choose(docs: list[list[str]], toxic: list[int]) -> dict[str, float]:
-    n1 = sum(toxic)
-    n0 = len(toxic) - n1
-    with_, without = Counter(), Counter()
-    for words, y in zip(docs, toxic, strict=True):
-        if y:
-            with_.update({f for w in set(words) for f in features(w)})
-    rare = {f for f, a in with_.items() if a < 3}
-    for f in rare:
-        del with_[f]
-    for words, y in zip(docs, toxic, strict=True):
-        if not y:
-            without.update({f for w in set(words) for f in features(w) if f in with_})
+def _each(batches: Iterator[pa.RecordBatch], keep: dict[int, int]) -> Iterator[list[tuple[list[str], int]]]:
+    """(words, label) of the kept rows of (doc_id, text), some rows at a time."""
+    for batch in runs(batches):
+        once: dict[str, str] = {}  # one string for all occurrences of a word
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        yield [([once.setdefault(w, w) for w in _WORD.findall(lower(t))], keep[i]) for i, t in zip(ids, texts, strict=True) if i in keep]
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch], keep: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """(f, a, b): in how many toxic and how many other documents a feature stands."""
+    for docs in _each(batches, keep):
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for words, y in docs:
+            counts[y].update({f for w in set(words) for f in features(w)})
+        names = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0))], ["f", "a", "b"])
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch], keep: dict[int, int], strong: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """(f, before, after): the neighbours of words with strong features in toxic documents."""
+    for docs in _each(batches, keep):
+        around = set()
+        for words, y in docs:
+            for k, word in enumerate(words if y else ()):
+                around |= {(f, words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "") for f in features(word) if f in strong}
+        cols = list(zip(*around, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["f", "before", "after"])
+
+
+def _choose(sample: DataFrame, keep: dict[int, int]) -> list[str]:
+    """The features that a likelihood-ratio test finds in toxic documents far more often than in others."""
+    n1 = sum(keep.values())
+    n0 = len(keep) - n1
+    counts = bounded(sample).mapInArrow(lambda b: _feature_counts(b, keep), "f string, a long, b long")
+    counts = materialize(counts.groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3"), "features")
     # the more candidates, the further the best would go by chance alone
-    least = LEAST_RATIO + 2 * math.log(max(1, len(with_)))
-    strong = {f for f, a in with_.items() if a / n1 > LEAST_LIFT * (without[f] + 0.5) / n0 and _ratio(a, without[f], n1, n0) >= least}
+    least = LEAST_RATIO + 2 * math.log(max(1, counts.count()))
+    lifted = counts.where(F.col("a") / n1 > LEAST_LIFT * (F.col("b") + 0.5) / n0).collect()
+    strong = {r["f"]: (r["a"], r["b"]) for r in lifted if _ratio(r["a"], r["b"], n1, n0) >= least}
+    if not strong:
+        return []
     # a passage that toxic documents share brings its words along, always between the same neighbours
-    around: dict[str, set] = {f: set() for f in strong}
-    for words, y in zip(docs, toxic, strict=True):
-        for k, word in enumerate(words if y else ()):
-            for f in features(word):
-                if f in strong:
-                    around[f].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
-    out = {}
-    for f in strong:
-        a, b = min(with_[f], len(around[f])), without[f]
-        if a / n1 > LEAST_LIFT * (b + 0.5) / n0 and (r := _ratio(a, b, n1, n0)) >= least:
-            out[f] = r
-    return out
-
-
-def _segments(docs, toxic, chosen) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(features [segment, word, 6], labels, lengths, weights of segments, feature names); features are -1 where there are none."""
-    names = sorted(chosen)
+    names = frozenset(strong)
+    around = bounded(sample).mapInArrow(lambda b: _surroundings(b, keep, names), "f string, before string, after string")
+    around = {r["f"]: r["count"] for r in around.distinct().groupBy("f").count().collect()}
+    out = []
+    for f, (a, b) in strong.items():
+        a = min(a, around.get(f, 0))
+        if a / n1 > LEAST_LIFT * (b + 0.5) / n0 and _ratio(a, b, n1, n0) >= least:
+            out.append(f)
+    return sorted(out)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], keep: dict[int, int], number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """(toxic, length, at, feature, n): segments as places 6 * word + k of features; those without any, which
+    differ in length alone, as their number."""
+    for docs in _each(batches, keep):
+        found: Counter = Counter()
+        for words, y in docs:
+            got = [[number[f] for f in features(w) if f in number] for w in words]
+            if y and not any(got):
+                continue  # labelled toxic for something no feature names: its tokens have no label
+            for k in range(0, len(words), SEGMENT):
+                part = got[k : k + SEGMENT]
+                at = tuple(6 * j + i for j, fs in enumerate(part) for i in range(len(fs)))
+                found[y if at else 0, len(part), at, tuple(f for fs in part for f in fs)] += 1
+        cols = list(zip(*found, strict=True)) or [()] * 4
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(found.values()), pa.int64())], ["toxic", "length", "at", "feature", "n"])
+
+
+def _segments(sample: DataFrame, keep: dict[int, int], names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features [segment, word, 6], labels, lengths, weights of segments); features are -1 where there are none."""
     number = {f: i for i, f in enumerate(names)}
-    rows, labels, plain, total_plain = [], [], 0, 0
-    for words, y in zip(docs, toxic, strict=True):
-        got = [[number[f] for f in features(w) if f in number] for w in words]
-        if y and not any(got):
-            continue  # labelled toxic for something no feature names: its tokens have no label
-        for k in range(0, len(words), SEGMENT):
-            part = got[k : k + SEGMENT]
-            if not any(part):
-                total_plain += 1
-                if plain >= PLAIN_SEGMENTS:
-                    continue
-                plain += 1
-            rows.append(part)
-            labels.append([int(bool(y and g)) for g in part])
-    feats = np.full((len(rows), SEGMENT, 6), -1, np.int32)
-    marks = np.zeros((len(rows), SEGMENT), np.int8)
-    lengths = np.array([len(r) for r in rows])
-    weight = np.ones(len(rows))
-    for i, (row, mark) in enumerate(zip(rows, labels, strict=True)):
-        marks[i, : len(mark)] = mark
-        for j, f in enumerate(row):
-            feats[i, j, : len(f)] = f
-        if not any(row):
-            weight[i] = total_plain / max(1, plain)
-    return feats, marks, lengths, weight, names
+    rows = bounded(sample).mapInArrow(lambda b: _pieces(b, keep, number), "toxic int, length int, at array<int>, feature array<int>, n long")
+    rows = rows.groupBy("toxic", "length", "at", "feature").agg(F.sum("n").alias("n")).orderBy("toxic", "length", "at", "feature").collect()
+    feats = np.full((len(rows), SEGMENT * 6), -1, np.int32)
+    for i, r in enumerate(rows):
+        feats[i, r["at"]] = r["feature"]
+    feats = feats.reshape(len(rows), SEGMENT, 6)
+    toxic = np.array([r["toxic"] for r in rows])
+    marks = ((feats >= 0).any(axis=2) & (toxic == 1)[:, None]).astype(np.int8)
+    return feats, marks, np.array([r["length"] for r in rows]), np.array([r["n"] for r in rows], float)
 
 
 def fit_chain(feats, marks, lengths, weight, n_features: int, rounds: int = 120, ridge: float = 1.0) -> tuple[np.ndarray, float, np.ndarray]:
@@ -298,21 +327,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float,
     return float(theta[0]), max(0.0, float(theta[1])), max(0.0, float(theta[2]))
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts. Without texts of both labels, every text scores the share of toxic ones."""
-    keep = _distinct(texts)
-    once: dict[str, str] = {}  # one string for all occurrences of a word
-    docs, labels = [[once.setdefault(w, w) for w in _WORD.findall(lower(texts[i]))] for i in keep], [toxic[i] for i in keep]
-    share = (sum(labels) + 0.5) / (len(labels) + 1)
-    base = math.log(share / (1 - share)) if labels else -3.0
-    if not 0 < sum(labels) < len(labels) or not (chosen := _choose(docs, labels)):
+def _sums(batches: Iterator[pa.RecordBatch], keep: dict[int, int], model: Model) -> Iterator[pa.RecordBatch]:
+    """(toxic, mass, most) of the kept rows."""
+    scorer = Scorer(model)
+    for batch in runs(batches):
+        rows = [(keep[i], *summed(scorer.tagged(t)[1])) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i in keep]
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.float64(), pa.float64()), strict=True)], ["toxic", "mass", "most"])
+
+
+def fit(sample: DataFrame) -> Model:
+    """A model from labelled texts (doc_id, text, toxic), at most some thousand rows, of distinct ids and no nulls.
+    Without texts of both labels, every text scores the share of toxic ones."""
+    keep = _apart([tuple(r) for r in bounded(sample).mapInArrow(_minima, "doc_id long, toxic int, least array<long>").collect()])  # 8 numbers a row
+    toxic = sum(keep.values())
+    share = (toxic + 0.5) / (len(keep) + 1)
+    base = math.log(share / (1 - share)) if keep else -3.0
+    if not 0 < toxic < len(keep) or not (names := _choose(sample, keep)):
         return Model(coef=(base, 0.0, 0.0))
-    feats, marks, lengths, weight, names = _segments(docs, labels, chosen)
+    feats, marks, lengths, weight = _segments(sample, keep, names)
     w, bias, step = fit_chain(feats, marks, lengths, weight, len(names))
     model = Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, bias, tuple(map(tuple, step.tolist())))
-    scorer = Scorer(model)
-    x = np.array([summed(scorer.tagged(texts[i])[1]) for i in keep])
-    model.coef = _logistic(x, np.array(labels, float))
+    sums = np.array(sorted(map(tuple, bounded(sample).mapInArrow(lambda b: _sums(b, keep, model), "toxic int, mass double, most double").collect())))
+    model.coef = _logistic(sums[:, 1:], sums[:, 0])
     return model
 
 
@@ -320,19 +357,22 @@ def _remainder(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
-    """A model from at most `rows` labelled documents whose texts have at most `most_bytes` bytes.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """A model from at most `rows` labelled documents, of any length.
 
-    Held-out rows (crc32 of the id mod 4 is 2), null ids and labels, and ids of contradicting
-    labels are left out; the sample is the rows first in order of a hash of the id.
+    Held-out rows (crc32 of the id mod 4 is 2), null ids, texts and labels, and ids of contradicting
+    labels are left out; the sample is the rows first in order of a hash of the id. Of texts
+    repeated under one id the least counts.
     """
-    agreed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    agreed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     agreed = agreed.where(_remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     drawn = agreed.select("doc_id", "toxic").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)  # a bounded sample
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
-    sample = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    got = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in got], [int(r["toxic"] == 1) for r in got])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+    sample = materialize(sample.repartition(TRAIN_PARTS), "labelled")
+    model = fit(sample)
+    drop(sample)
+    return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

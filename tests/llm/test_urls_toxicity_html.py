@@ -56,6 +56,29 @@ def test_urls_against_sql(spark):
     assert ours == theirs
 
 
+def test_mined_rules_of_the_table_against_sql(spark):
+    """Labels that follow from the urls, by one token and by two, so that rules of both kinds fire."""
+    sf = str(DATA / "sf0.1")
+    con = views(sf)
+    judged = "url LIKE '%utm_source%' OR url LIKE '%//blog.%/es/%'"
+    labels = f"SELECT page_id AS doc_id, CAST(1 AS BIGINT) AS quality, CAST(coalesce({judged}, false) AS BIGINT) AS toxic FROM pages WHERE page_id % 3 > 0"
+    frame = con.sql(labels).df()
+    con.sql("CREATE OR REPLACE TEMP TABLE made AS " + labels)
+    con.sql("CREATE OR REPLACE TEMP VIEW labels AS SELECT * FROM made")
+    judge = lambda session, _: urlfilter.judge(session.read.parquet(f"{sf}/pages.parquet"), session.createDataFrame(frame), URL_RULES)
+    ours, theirs = both(spark, con, judge, ORACLE_SQL["op4_url_rules"], sf)
+    assert ours == theirs
+    assert sum(rule == "None" and verdict == "'block'" for *_, rule, verdict in ours) > 50
+
+
+def test_tokens_shared_by_the_same_urls_make_no_sets(spark):
+    """Forty tokens that stand together in mixed labels: 2 ** 40 sets of them are frequent."""
+    many = [f"q=k{k:02d}" for k in range(40)]
+    rows = [(i, [*many, *(["a"] if i % 2 else []), *(["b"] if i % 3 else [])], bool(i % 2 and i % 3)) for i in range(60)] + [(i, ["c"], False) for i in range(60, 90)]
+    found = urlfilter.mine(spark.createDataFrame([r[1:] for r in rows], "tokens array<string>, block boolean")).collect()
+    assert {tuple(sorted(r["items"])) for r in found} == {("a", "b")}
+
+
 # --- toxicity ---
 def test_marginals_equal_the_full_passes():
     model = toxicity.Model({"w:bad": 3.0, "w:worse": 5.0}, -2.0, ((0.3, -1.0), (0.1, 0.9)), (0.0, 1.0, 1.0))
@@ -111,6 +134,46 @@ def test_toxicity_edges(spark, edges, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.keep_civil(edges, model).count() == edges.count()
 
 
+def test_scores_by_brute_force(spark):
+    """Scores and tagged words of whole texts by forward and backward passes over every single word."""
+    sf = str(DATA / "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    step, texts = np.exp(np.array(model.step)), {r["doc_id"]: r["text"] for r in docs.collect()}
+    tagged = 0
+    for r in toxicity.score(docs, model).collect():
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]] or "")
+        words = [(m[0], m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+        lifts = [model.emission(w) for w, _ in words]
+        e = [np.array([1.0, math.exp(min(60.0, model.bias + x))]) for x in lifts]
+        alpha, beta = [], [np.ones(2)]
+        for x in e:
+            a = x if not alpha else (alpha[-1] @ step) * x
+            alpha.append(a / a.sum())
+        for x in e[:0:-1]:
+            b = step @ (x * beta[0])
+            beta.insert(0, b / b.sum())
+        toxic = [(a[1] * b[1]) / (a @ b) for a, b in zip(alpha, beta, strict=False)]
+        named = [m for m, x in zip(toxic, lifts, strict=True) if x]
+        mass, most = min(20.0, sum(-math.log(max(1e-9, 1 - m)) for m in named)), max(named, default=0.0)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.coef[0] + model.coef[1] * mass + model.coef[2] * most))), rel=1e-6, abs=1e-9)
+        spans = [span for (_, span), m, x in zip(words, toxic, lifts, strict=True) if x and m >= 0.5]
+        assert [(s["begin"], s["end"]) for s in r["spans"]] == spans
+        tagged += len(spans)
+    assert tagged > 20
+
+
+def test_long_texts_and_long_words_are_learned(spark, docs):
+    """Toxic texts of over 16 KB, marked by a word of 60 letters."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(3000)]
+    bad = "q" * 20 + "z" * 40
+    rows = [(i, " ".join(rng.choice(vocabulary, 2500).tolist() + ([bad] if i % 4 == 0 else []) + rng.choice(vocabulary, 300).tolist())) for i in range(80)]
+    df = docs(rows)
+    model = toxicity.train(df, spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in toxicity.score(df, model).collect())
+
+
 def test_held_out_accuracy(spark):
     sf = str(DATA / "sf0.1")
     found = QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
