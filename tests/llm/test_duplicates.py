@@ -294,6 +294,25 @@ def test_last_short_sentence_of_a_passage_goes(spark, docs, tmp_path):
     assert out[1] == f"{passage} {sentence('x', 11)}" and out[2] == f"{sentence('y', 9)} {sentence('z', 10)}"
 
 
+def test_runs_of_one_document_are_its_own(docs):
+    refrain = "This line of the song comes back again and again. And so does that one, as everybody knows by now. "
+    rows = [(1, refrain * 5 + PASSAGE), (2, "Something else. " + PASSAGE), (2, "Something else. " + PASSAGE)]
+    out = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs(rows), window=spans.WINDOW, across=True).collect()}
+    assert out == {1: rows[0][1], 2: "Something else. "}
+    alone = spans.remove_repeats(docs(rows[:1])).first()
+    assert alone["n_removed"] > 0 and spans.remove_repeats(docs(rows[:1]), across=True).first()["n_removed"] == 0
+
+
+@pytest.mark.parametrize("window", [0, spans.WINDOW])
+def test_a_semi_join_does_what_the_filter_does(spark, docs, monkeypatch, window):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").collect()] + [(None, PASSAGE), (1000, "a " + PASSAGE)]
+    found = []
+    for most in (spans.MOST_FILTERED, 0):
+        monkeypatch.setattr(spans, "MOST_FILTERED", most)
+        found.append(sorted(map(tuple, spans.remove_repeats(docs(rows), window=window, across=True).collect()), key=str))
+    assert found[0] == found[1] and any(r[2] for r in found[0])
+
+
 def test_fifty_words_inside_long_sentences_are_found(spark, docs, tmp_path):
     plain = [w for w in (f"w{k}" for k in range(4000)) if mixed(w.encode()) % spans.CUT]
     rng = np.random.default_rng(10)
