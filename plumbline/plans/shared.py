@@ -1,7 +1,9 @@
 """Tables written in the folder that driver and executors share.
 
 They cut lineage (a lost executor costs no recomputation of what is written) and let one
-result be read more than once. Nothing here uses a machine-local folder on a cluster.
+result be read more than once. Nothing here uses a machine-local folder on a cluster. Results are lazy and
+read these tables, so they are deleted by `drop` where nothing reads them any more, by `release`
+when a caller is done with all results, and else when the driver's JVM exits.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where that is unset, a folder of our own."""
+    """`spark.checkpoint.dir` of the session. Where that is unset, a local master gets a folder of our own; on a
+    cluster, whose executors would write where nobody reads, it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"Set spark.checkpoint.dir to a folder that the driver and all executors share (master {master}).")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="plumbline-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -35,7 +42,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    where, fs = _at(spark, path)
+    fs.deleteOnExit(where)
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
@@ -45,9 +55,26 @@ def drop(df: DataFrame) -> None:
     """Deletes what `materialize` wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_plumbline_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that `materialize` has written in this process: for callers whose results are computed and stored."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, fs = _at(spark, path)
+    fs.delete(where, True)
+    fs.cancelDeleteOnExit(where)
+    if path in _written:
+        _written.remove(path)
 
 
 #: Inputs up to this size, one split of a file by default, are dealt over all cores before much work is done on them.

@@ -150,3 +150,32 @@ def test_hub_edges_are_split_over_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_written_tables_are_deleted(spark, monkeypatch):
+    from pathlib import Path
+
+    from plumbline.plans import shared
+
+    there = lambda df: Path(df._plumbline_path.removeprefix("file://")).exists()
+    one, two = (shared.materialize(spark.range(3), label) for label in "ab")
+    assert there(one) and one.count() == 3
+    shared.drop(one)
+    assert not there(one) and there(two)
+    shared.release(spark)
+    assert not there(two) and not shared._written
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from plumbline.plans import shared
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    for master, fails in (("local[4]", False), ("local-cluster[2,1,1024]", True), ("spark://host:7077", True), ("yarn", True)):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+        if fails:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                shared.shared_dir(session)
+        else:
+            assert shared.shared_dir(session)
