@@ -84,6 +84,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     length; strings that look like special tokens are ordinary text. Repeated rows each give a
     row; other columns are ignored; an empty table gives an empty result. `path`: the rank file,
     found under the same path on every executor; by default the installed multilingual one.
+    Sets the session's rows of an Arrow batch (`common.bounded`).
     """
     path = path or public_tokenizers.path(RANKS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -19,7 +19,11 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """`df`, its session set to hand Python at most BATCH_ROWS rows at once (a lower setting stays)."""
+    """`df`, its session set to hand Python at most BATCH_ROWS rows at once (a lower setting stays).
+
+    The setting is read when a lazy result is computed, so it can't be taken back here; it bounds memory
+    and changes no result.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
         conf.set(_ROWS, BATCH_ROWS)

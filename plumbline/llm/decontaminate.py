@@ -115,6 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     20 * n_hit >= n_words. Null texts have no words. Items of one repeated id are one item; items
     without an id hit words but aren't listed. Repeated rows get equal results; other columns are
     ignored; an empty table on either side is allowed.
+    Sets the session's rows of an Arrow batch (`common.bounded`).
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))

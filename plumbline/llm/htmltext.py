@@ -353,6 +353,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     character references decoded; empty for null, empty and textless pages. n_chars: its code
     points. Pages are taken whole, however long or broken. Repeated rows each give a row; other
     columns are ignored; an empty table gives an empty result.
+    Sets the session's rows of an Arrow batch (`common.bounded`).
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return bounded(slim).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -37,6 +37,10 @@ class SlotMap:
             out[shard] += size
         return out
 
+    def uneven(self, bytes_of: list[int], slack: float = 0.02) -> bool:
+        """Whether a shard holds over (1 + slack) times the mean by these slot sums."""
+        return max(replace(self, bytes_of=tuple(bytes_of)).loads()) * self.shards > (1 + slack) * sum(bytes_of)
+
     def rebalanced(self, bytes_of: list[int], rows_of: list[int], shards: int | None = None, slack: float = 0.02) -> SlotMap:
         """The next version for new slot sums or another number of shards: slots leave a shard only
         while it holds over (1 + slack) times the mean or no longer exists, largest first.
@@ -59,10 +63,20 @@ class SlotMap:
         return replace(self, version=self.version + 1, shards=shards, shard_of=tuple(homes), bytes_of=tuple(bytes_of), rows_of=tuple(rows_of))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the versions kept under `path`."""
+        """Adds this version to the versions kept under `path`; one that is there already stays as it is."""
+        if self.version in SlotMap.versions(spark, path):
+            return
         rows = [(self.version, self.shards, s, *x) for s, x in enumerate(zip(self.shard_of, self.bytes_of, self.rows_of, strict=True))]
         spark.createDataFrame(rows, "version int, shards int, slot int, shard int, bytes long, rows long").coalesce(1).write.mode("append").parquet(path)
 
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions kept under `path`: none if nothing is there."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return []
+        return sorted(r[0] for r in spark.read.parquet(path).select("version").distinct().collect())
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A version kept under `path`; the newest, if none is named."""
@@ -110,11 +124,17 @@ def shard(docs: DataFrame, shards: int, slot_map: SlotMap | None = None, slots:
     (null as empty: 0). shard: where the map puts the row's virtual slot `vslot`. slot: the row's
     place in its shard, 0, 1, 2 and on without a gap, by virtual slot, doc_id (null first) and
     checksum; equal rows take their places in any order. Under the law `bytes` grown_shard is null.
-    A map given in `slot_map` is used as it is; else version 1 is made for this table, and kept
-    under `map_path` if that is given. An empty table gives an empty result; other columns are ignored.
+    A map given in `slot_map` is used as it is. Else the newest version kept under `map_path` is: it
+    is rebalanced for this table's slot sums, which makes the next version, if a shard has grown too
+    large by them or their number has changed. Where there is none, version 1 is made. The map that was used
+    is kept under `map_path`. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     bytes_of, rows_of = slot_sums(docs, slots)
+    if not slot_map and map_path and SlotMap.versions(spark, map_path):
+        slot_map = SlotMap.load(spark, map_path)
+        if slot_map.shards != shards or slot_map.uneven(bytes_of):
+            slot_map = slot_map.rebalanced(bytes_of, rows_of, shards)
     slot_map = slot_map or first_map(bytes_of, rows_of, shards)
     if map_path:
         slot_map.save(spark, map_path)

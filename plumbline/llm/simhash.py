@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, g
     space only, have fingerprint zero and are linked like any other. Repeated rows each give a
     row. Rows of null doc_id link others; only a class of nothing else has a null component_id.
     Columns beside doc_id and text are ignored; an empty table gives an empty result.
+    Sets the session's rows of an Arrow batch (`common.bounded`).
     """
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return _classes(docs, budget, width, group_rows).select("doc_id", hexed, F.col("first.doc_id").alias("component_id"))

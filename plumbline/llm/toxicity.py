@@ -363,6 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     Held-out rows (crc32 of the id mod 4 is 2), null ids, texts and labels, and ids of contradicting
     labels are left out; the sample is the rows first in order of a hash of the id. Of texts
     repeated under one id the least counts.
+    Sets the session's rows of an Arrow batch (`common.bounded`).
     """
     agreed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     agreed = agreed.where(_remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")

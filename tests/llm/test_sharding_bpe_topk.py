@@ -78,6 +78,27 @@ def test_pieces_are_cut_where_matches_end():
     assert len(list(bpe.pieces("a" * 1000, 10))) == 1
 
 
+def test_maps_are_kept_and_edited(spark, docs, tmp_path):
+    """A second table finds the map of the first: as it is while the shards stay even, else its next version."""
+    path = f"file://{tmp_path}/maps"
+    rows = [(i, "x" * (50 + i % 7)) for i in range(3000)]
+    first = sharding.shard(docs(rows), 4, map_path=path)
+    assert first.select("map_version").distinct().collect()[0][0] == 1
+    again = sharding.shard(docs(rows), 4, map_path=path)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect())) and sharding.SlotMap.versions(spark, path) == [1]
+    one = sharding.SlotMap.load(spark, path)
+    sharding.shard(docs(rows), 4, slot_map=one, map_path=path)
+    assert len(sharding.SlotMap.load(spark, path).shard_of) == sharding.SLOTS  # no version is kept twice
+    wider = sharding.shard(docs(rows), 5, map_path=path)
+    sizes = [r["s"] for r in wider.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert sharding.SlotMap.versions(spark, path) == [1, 2] and len(sizes) == 5 and max(sizes) <= 1.021 * sum(sizes) / 5
+    moved = wider.select("vslot", "shard").distinct().join(first.select("vslot", F.col("shard").alias("was")).distinct(), "vslot")
+    assert moved.where("shard <> was and shard <> 4").count() == 0
+    grown = [(i, "y" * (9000 if r["shard"] == 0 else 50)) for i, r in enumerate(first.orderBy("doc_id").collect())]
+    after = sharding.shard(docs(grown), 5, map_path=path)
+    assert sharding.SlotMap.versions(spark, path) == [1, 2, 3] and after.count() == 3000
+
+
 def test_special_tokens_are_text():
     enc = bpe.encoding(public_tokenizers.path(bpe.RANKS))
     assert isinstance(enc, tiktoken.Encoding)
