@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import text as X
 from plumbline.functions.values import Let
@@ -108,9 +109,15 @@ class Run:
         """The audit: counts for each column with a few examples and flags, and what was missing."""
         out = {"plan": self.plan.name, "columns": [r.asDict() for r in self.counts().collect()], "errors": [{"source_column": c, "error": "column not in the table"} for c in self.missing]}
         if self.done:
-            few = self.changes().groupBy("column").agg(
-                F.slice(F.collect_set(F.when(F.col("before") != F.col("after"), F.struct("before", "after"))), 1, EXAMPLES).alias("examples"),
-                F.slice(F.collect_set(F.when(F.col("flagged"), F.struct(F.col("before").alias("value"), "reason"))), 1, FLAGS).alias("flags"),
+            said = self.changes().select("column", F.inline(F.array(
+                F.struct(F.lit("change").alias("what"), (F.col("before") != F.col("after")).alias("is"), "before", F.col("after").alias("also")),
+                F.struct(F.lit("flag").alias("what"), F.col("flagged").alias("is"), "before", F.col("reason").alias("also")),
+            ))).where("is").select("column", "what", "before", "also").distinct()
+            place = F.row_number().over(Window.partitionBy("column", "what").orderBy("before", "also"))  # of which the least are kept before the shuffle
+            said = said.withColumn("place", place).where(F.col("place") <= F.when(F.col("what") == "flag", FLAGS).otherwise(EXAMPLES))
+            few = said.groupBy("column").agg(
+                F.collect_list(F.when(F.col("what") == "change", F.struct("before", F.col("also").alias("after")))).alias("examples"),
+                F.collect_list(F.when(F.col("what") == "flag", F.struct(F.col("before").alias("value"), F.col("also").alias("reason")))).alias("flags"),
             )
             shown = {r["column"]: r for r in few.collect()}
             for c in out["columns"]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.queries import columns, tables
+from plumbline.queries import columns, tables, tools
 from plumbline.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "columns", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "columns", "tables", "tools"]

@@ -223,11 +223,13 @@ def email_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transformed(read(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")), "raw", "email").drop("reason")
 
 
-def _extracted(kind: str, pattern: str):
-    sql = f"SELECT doc_id, array_to_string(list_distinct_sorted, '|') AS found FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{pattern}'))) AS list_distinct_sorted FROM documents) WHERE len(list_distinct_sorted) > 0"
+def _extracted(kind: str, pattern: str, tail: str = "''"):
+    """`tail`: SQL of what each text is followed by, where the texts themselves hold nothing of the kind."""
+    sql = f"SELECT doc_id, array_to_string(list_distinct_sorted, '|') AS found FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text || {tail}, '{pattern}'))) AS list_distinct_sorted FROM documents) WHERE len(list_distinct_sorted) > 0"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = read(spark, sf_dir, "documents").select("doc_id", F.array_sort(X.extract("text", kind)).alias("f")).where(F.size("f") > 0)
+        text = F.concat(F.col("text"), F.expr(tail))
+        found = read(spark, sf_dir, "documents").select("doc_id", F.array_sort(X.extract(text, kind)).alias("f")).where(F.size("f") > 0)
         return found.select("doc_id", F.array_join("f", "|").alias("found"))
 
     run.__name__ = f"extract_{kind}"
@@ -237,7 +239,7 @@ def _extracted(kind: str, pattern: str):
 _extracted("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 _extracted("phone", r"(?:\+?234|0)\d[\d\s\-]{7,}\d")
 _extracted("date", r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b")
-_extracted("longnum", r"\b\d{10,11}\b")
+_extracted("longnum", r"\b\d{10,11}\b", "' ref ' || CAST(doc_id + 10000000000 AS STRING) || ', ' || CAST(doc_id + 123456789 AS STRING)")
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')) AS value FROM (SELECT conv_id, turn, replace(replace(text, chr(8217), ''''), chr(8212), '-') AS text FROM conversations)")

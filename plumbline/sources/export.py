@@ -6,10 +6,9 @@ import io
 import json
 import re
 import zipfile
-from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
@@ -17,6 +16,16 @@ from plumbline.functions import text as X
 SHEET_ROWS, DOCUMENT_ROWS, PREVIEW = 1_048_575, 2000, 90
 
 
+def store(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of bounded size, written by the driver into any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def export_safe(df: DataFrame) -> DataFrame:
     """Every string column without line breaks and control characters."""
     return df.select(*[X.export_safe(f"`{c}`").alias(c) if k == "string" else F.col(f"`{c}`") for c, k in df.dtypes])
@@ -58,6 +67,7 @@ def to_xlsx(tables: dict[str, DataFrame] | DataFrame, path: str) -> None:
     """A workbook with one sheet a table; a table beyond a sheet's rows is an error, not cut."""
     tables = tables if isinstance(tables, dict) else {"Sheet1": tables}
     names, parts = sheet_names(list(tables)), {}
+    spark = next(iter(tables.values())).sparkSession
     for i, df in enumerate(tables.values(), 1):
         rows = _grid(df, SHEET_ROWS)
         if len(rows) > SHEET_ROWS:
@@ -72,7 +82,7 @@ def to_xlsx(tables: dict[str, DataFrame] | DataFrame, path: str) -> None:
     parts["_rels/.rels"] = _relations([("rId1", f"{kinds}/officeDocument", "xl/workbook.xml")])
     main = "application/vnd.openxmlformats-officedocument.spreadsheetml."
     parts["[Content_Types].xml"] = _types([("/xl/workbook.xml", f"{main}sheet.main+xml"), *[(f"/xl/worksheets/sheet{i}.xml", f"{main}worksheet+xml") for i in range(1, len(names) + 1)]])
-    _zip(parts, path)
+    store(spark, path, _zip(parts))
 
 
 def _relations(rows: list[tuple[str, str, str]]) -> str:
@@ -85,12 +95,12 @@ def _types(rows: list[tuple[str, str]]) -> str:
     return f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{inner}</Types>'
 
 
-def _zip(parts: dict[str, str], path: str) -> None:
+def _zip(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, xml in parts.items():
             z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + xml)
-    Path(path).write_bytes(out.getvalue())
+    return out.getvalue()
 
 
 def to_docx(df: DataFrame, path: str, title: str = "Table", intro: str = "") -> None:
@@ -102,14 +112,14 @@ def to_docx(df: DataFrame, path: str, title: str = "Table", intro: str = "") ->
     more = para(f"… and {total - len(rows)} more rows") if total > len(rows) else ""
     body = para(title, "Title") + (para(intro) if intro else "") + f"<w:tbl>{line(df.columns)}{''.join(map(line, rows))}</w:tbl>" + more
     kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    _zip(
+    content = _zip(
         {
             "[Content_Types].xml": _types([("/word/document.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml")]),
             "_rels/.rels": _relations([("rId1", f"{kinds}/officeDocument", "word/document.xml")]),
             "word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
-        },
-        path,
+        }
     )
+    store(df.sparkSession, path, content)
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -122,8 +132,7 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def write_artefacts(run, folder: str, stem: str) -> dict[str, str]:
     """The cleaned table and the flagged rows as CSV, and the report as JSON, of a plan's run."""
     paths = {"standardized": f"{folder}/{stem}_STANDARDIZED.csv", "flagged": f"{folder}/{stem}_flagged.csv", "audit": f"{folder}/{stem}_audit.json"}
-    Path(folder).mkdir(parents=True, exist_ok=True)
     to_csv(run.table, paths["standardized"])
     to_csv(run.flagged, paths["flagged"])
-    Path(paths["audit"]).write_text(json.dumps(run.report(), indent=1, ensure_ascii=False, default=str), encoding="utf-8")
+    store(run.raw.sparkSession, paths["audit"], json.dumps(run.report(), indent=1, ensure_ascii=False, default=str).encode())
     return paths
