@@ -2,7 +2,8 @@
 
 Distinct values are dealt into chunks by hash, and every pair of chunks is one task, so all pairs are
 met at any size. A pair that shares no word is left out only if its letters in common bound its
-similarity below the threshold; all others are scored. Links then become components by joins.
+similarity below the threshold; all others are scored. Links then become components by joins. How
+tightly a cluster hangs together takes all its pairs: they too are dealt into pairs of chunks.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -138,16 +139,28 @@ def cluster_similar(df: DataFrame, column: str, threshold: float = LINK, same: C
         return 0.0 if same and same(a, b) is False else guarded(a, b)
 
     members, _ = _clusters(df, column, threshold, score)
-    shown = _shown(members)
-
-    def cohesion(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for m in pdf["members"]:
-                m = list(m)
-                s = [guarded(a, b) for i, a in enumerate(m) for b in m[i + 1 :]]
-                out.append((min(s), sum(s) / len(s)))
-            grades = ["high" if a >= HIGH else "medium" if b >= MEDIUM else "low" for a, b in out]
-            yield pdf[["representative", "members", "size"]].assign(confidence=grades, score=[round(b, 3) for _, b in out])
-
-    return shown.mapInPandas(cohesion, "representative string, members array<string>, size long, confidence string, score double")
+    members = materialize(members, "members")
+    told = cohesion(members).select("component", F.when(F.col("least") >= HIGH, "high").when(F.col("mean") >= MEDIUM, "medium").otherwise("low").alias("confidence"), F.round("mean", 3).alias("score"))
+    return _shown(members).join(told, "component").select("representative", "members", "size", "confidence", "score")
+
+
+def cohesion(members: DataFrame, chunk: int = MOST_IN_CHUNK) -> DataFrame:
+    """(component, least, mean) of the guarded similarities of all pairs of a component's values, of which a
+    task holds two chunks."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("q"))
+    dealt = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
+    dealt = dealt.select("component", "id", "value", "chunk", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other"))
+    dealt = dealt.select("component", "id", "value", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        x, y = (pdf[pdf["chunk"] == k].sort_values("id") for k in (lo, hi))
+        least, total, n = 2.0, 0.0, 0
+        for i, a in enumerate(x["value"].tolist()):
+            for b in y["value"].tolist()[i + 1 if lo == hi else 0 :]:
+                s = guarded(a, b)
+                least, total, n = min(least, s), total + s, n + 1
+        return pd.DataFrame({"component": [pdf["component"].iat[0]], "least": [least], "total": [total], "n": [n]})
+
+    parts = dealt.groupBy("component", "lo", "hi").applyInPandas(kernel, "component long, least double, total double, n long")
+    return parts.groupBy("component").agg(F.min("least").alias("least"), (F.sum("total") / F.sum("n")).alias("mean")).where("mean is not null")

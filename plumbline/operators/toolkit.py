@@ -57,8 +57,8 @@ def quick_clean(df: DataFrame) -> Result:
     """Every column cleaned by its type."""
     df = spread(df)
     run = run_plan(df, profile_to_plan(profile(df)))
-    changed = run.counts().agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]
-    return run.table, {"columns": len(df.columns), "rows": df.count(), "values_changed": changed}
+    rows, changed = run.counts().agg(F.max("rows"), F.coalesce(F.sum("changed"), F.lit(0))).first()
+    return run.table, {"columns": len(df.columns), "rows": df.count() if rows is None else rows, "values_changed": changed}
 
 
 #: Tool: (title, what it makes, whether it takes several tables, function).

@@ -357,7 +357,8 @@ def anonymise_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.select("c_custkey", "c_name", X.mask("c_mktsegment").alias("segment"), X.shape("c_custkey").alias("key_shape"))
 
 
-_STOP = {lang: "[" + ", ".join(f"'{w}'" for w in words) + "]" for lang, words in language.STOP_WORDS.items()}
+_LANGUAGES = ("de", "en", "es", "fr")
+_STOP = {lang: "[" + ", ".join(f"'{w}'" for w in language.STOP_WORDS[lang]) + "]" for lang in _LANGUAGES}
 _COUNTS = ", ".join(f"len(list_filter(w, lambda x: list_contains({words}, x))) AS n_{lang}" for lang, words in _STOP.items())
 _BEST = "greatest(n_de, n_en, n_es, n_fr)"
 
@@ -369,7 +370,7 @@ _BEST = "greatest(n_de, n_en, n_es, n_fr)"
     """
 )
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", language.detect("text").alias("detected"))
+    return read(spark, sf_dir, "documents").select("doc_id", language.detect("text", _LANGUAGES).alias("detected"))
 
 
 @query(

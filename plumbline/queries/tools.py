@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline import api
 from plumbline.functions import kernels as K
 from plumbline.functions import text as X
-from plumbline.operators import distribution, domains, duplicates, flows, headers, knowledge, names, privacy, review
+from plumbline.operators import distribution, domains, duplicates, entities, flows, headers, knowledge, names, privacy, review, scoreboard
 from plumbline.operators.transforms import list_transforms
 from plumbline.plans.plan import run_plan
 from plumbline.plans.shared import new_path
@@ -467,3 +467,30 @@ _TRANSFORMS = "auto_categorical boolean date_iso datetime_iso email fixed_id gen
 @query(_values([(t,) for t in _TRANSFORMS], "transform"))
 def transforms_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(t,) for t in list_transforms() if t in _TRANSFORMS], "transform string")
+
+
+@query("SELECT 'geo' AS type, round(count(*) FILTER (n_nationkey % 5 > 0) / CAST(count(*) AS DOUBLE), 6) AS share FROM nation")
+def entity_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagger that knows a nation by its prefix; one value in five holds other words for the most part."""
+    tagger = lambda texts: [("GPE", 8) if t.startswith("NATION_") else None for t in texts]
+    df = read(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 5 == 0, F.concat("n_name", F.lit(" and many other words"))).otherwise(F.col("n_name")).alias("v"))
+    kind, share = entities.entity_type(df, "v", tagger)
+    return _rows(spark, [(kind, round(share, 6))], "type string, share double")
+
+
+@query(_values([("areas", 4, 4, 1.0, "good"), ("countries", 6, 4, 1.0, "good"), ("text similarity", 4, 4, 0.75, "ok")], "name, n, answered, accuracy, band"))
+def understanding_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, places = domains.Domains(), domains.Places()
+    groups = [
+        scoreboard.Group("countries", [("Nigeria", "Nigeria"), ("naija", "Nigeria"), ("NGA", "Nigeria"), ("ghana.", "Ghana"), ("Female", None), ("good morning", None)], lambda v: d.canonical("country", v)),
+        scoreboard.Group("areas", [("Zaria", "lga"), ("Zaria LGA", "lga"), ("Kano", "is_state"), ("Somewhere", "unknown")], lambda v: places.check(v, "lga")["kind"]),
+        scoreboard.Group("text similarity", [(("maize", "Maize"), True), (("Sorghum", "Sorgum"), True), (("Niger", "Rice"), False), (("Groceries", "Provisions"), True)], lambda p: K.similarity(*p) >= 0.72),
+    ]
+    return scoreboard.scoreboard(spark, groups).select("name", "n", "answered", "accuracy", "band")
+
+
+@query(_values([("1", "Ann"), ("2", "Bob"), ("3", ""), ("4", "Dan")], "id, column_1_no_header"))
+def stack_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of a document under each other: those as wide as the longest, without their header rows."""
+    columns, rows = files.stack([[["id", None], ["1", "Ann"], ["2", "Bob"], ["3"]], [["a", "b", "c"], ["x", "y", "z"]], [["id", "name"], ["4", "Dan"]], [["alone"]]])
+    return _rows(spark, [tuple(r) for r in rows], ", ".join(f"{c} string" for c in columns))

@@ -7,6 +7,7 @@ splits (unless quoted cells hold line feeds), a workbook by the task that unzips
 from __future__ import annotations
 
 import csv
+import importlib.util
 import io
 import re
 import zipfile
@@ -193,13 +194,55 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"sheet": sheet, "number": range(len(grid)), "cells": grid})
 
 
+def _old_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import xlrd
+
+    shown = lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    for pdf in batches:
+        for content in pdf["content"]:
+            for sheet in xlrd.open_workbook(file_contents=bytes(content)).sheets():
+                yield pd.DataFrame({"sheet": sheet.name, "number": range(sheet.nrows), "cells": [list(map(shown, sheet.row_values(i))) for i in range(sheet.nrows)]})
+
+
+def _needs(module: str, what: str) -> None:
+    if importlib.util.find_spec(module) is None:
+        raise ValueError(f"{what} need the package {module}, or a reader in plumbline.sources.router.PLUGINS.")
+
+
+def stack(tables: list[list[list[str]]]) -> tuple[list[str], list[list[str]]]:
+    """(names, rows) of the tables of a document that are as wide as the longest of them, whose first row is the header;
+    the first row of each goes, short rows are filled up."""
+    tables = [t for t in tables if len(t) >= 2]
+    if not tables:
+        return [], []
+    top = max(tables, key=len)
+    width = len(top[0])
+    rows = [([("" if c is None else str(c)) for c in r] + [""] * width)[:width] for t in tables if len(t[0]) == width for r in t[1:]]
+    return sniff.names([str(c or "").strip() for c in top[0]]), rows
+
+
+def read_pdf(spark: SparkSession, path: str) -> tuple[DataFrame, IngestReport]:
+    """The ruled tables of a document, stacked; without any, its lines as column `text`. Needs pdfplumber."""
+    _needs("pdfplumber", "PDF tables")
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(head(spark, path, 1 << 28))) as pdf:
+        pages = list(pdf.pages)
+        columns, rows = stack([t for p in pages for t in p.extract_tables() or []])
+        if not columns:
+            columns, rows = ["text"], [[line] for p in pages for line in (p.extract_text() or "").splitlines() if line.strip()]
+    report = IngestReport("pdf", columns=len(columns), notes=[f"{len(pages)} pages"])
+    return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{c}` string" for c in columns)), report
+
+
 def read_all_sheets(spark: SparkSession, path: str) -> dict[str, tuple[DataFrame, IngestReport]]:
     """Every sheet that has rows, by name and in order; sheets are never merged."""
-    if path.lower().endswith(".xls"):
-        raise ValueError("Old binary .xls workbooks can't be read; save as .xlsx.")
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_rows, _ROW)
+    old = path.lower().endswith(".xls")
+    if old:
+        _needs("xlrd", "Old binary .xls workbooks")
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_old_rows if old else _rows, _ROW)
     heads = rows.where(F.col("number") < sniff.ROWS).groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("number", "cells"))).alias("top")).collect()
-    order = _sheet_order(head(spark, path, 1 << 28))
+    order = sorted(r["sheet"] for r in heads) if old else _sheet_order(head(spark, path, 1 << 28))
     out = {}
     for r in sorted(heads, key=lambda r: order.index(r["sheet"])):
         grid = [list(x["cells"]) for x in r["top"]]

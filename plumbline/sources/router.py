@@ -30,7 +30,7 @@ def read_any(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[
         df = spark.read.format(kind).load(path)
         return df, IngestReport(kind, columns=len(df.columns))
     if kind == "pdf":
-        raise ValueError("PDF tables need a reader: add one to plumbline.sources.router.PLUGINS['pdf'].")
+        return files.read_pdf(spark, path)
     raise ValueError(f"Unsupported file type: {path}")
 
 

@@ -80,6 +80,31 @@ def test_clusters(spark):
     assert not any("Niger" in r["members"] for r in apart.collect())
 
 
+@pytest.mark.parametrize("chunk", [2, 2000])
+def test_cohesion_by_brute_force(spark, chunk):
+    words = ["sorghum", "sorgum", "sorghm", "sorghums", "maize", "maiz", "maise", "rice 6", "rice 7"]
+    rows = [(0 if i < 4 else 1 if i < 7 else 2, i, w, 1) for i, w in enumerate(words)]
+    got = {r["component"]: (r["least"], r["mean"]) for r in clusters.cohesion(spark.createDataFrame(rows, "component long, id long, value string, n long"), chunk).collect()}
+    for c in (0, 1, 2):
+        own = [w for k, _, w, _ in rows if k == c]
+        scores = [clusters.guarded(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        assert got[c] == (min(scores), pytest.approx(sum(scores) / len(scores)))
+
+
+def test_entity_types(spark):
+    from plumbline.operators import entities
+
+    df = spark.createDataFrame([(x,) for x in ["Ann Bell", "Bob Hill", "a long text about Ann", None, "", "42"]], "v string")
+    tagger = lambda texts: [("PERSON", 8) if "Ann" in t or "Bob" in t else None for t in texts]
+    assert entities.entity_type(df, "v", tagger) == ("name", 0.5)
+    assert entities.entity_type(df, "v", lambda texts: [None] * len(texts)) == (None, 0.0) == entities.entity_type(df.limit(0), "v", tagger)
+
+
+def test_more_languages(values):
+    got = values(["o gato não está em casa com os cães", "och det är inte för sent att gå", "il cane non è nel giardino della casa"], language.detect)
+    assert got == ["pt", "sv", "it"]
+
+
 def test_links_do_not_hang_on_the_size(spark):
     """Beyond 1,500 values, a pair of which every word and 3-gram is common is linked as it is in a small table."""
     import random
