@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,13 +108,46 @@ def kinds(df: DataFrame, min_numeric_share: float = 0.6) -> dict[str, str]:
     return out
 
 
+def _rounded(v: float | None, places: int = 3) -> float | None:
+    """As Spark rounds: half away from zero, by the decimal digits that are shown."""
+    return None if v is None else float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) if math.isfinite(v) else v
+
+
+def _numeric_profiles(df: DataFrame, columns: list[str], bins: int) -> dict[str, dict]:
+    """What `numeric_stats` and `histogram` say of each column, by two passes over the table for all of them."""
+    x = [O.number(df, c) for c in columns]
+    first = df.agg(*[F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), O._quartiles(v, False).alias("q"), O.skew(v).alias("skew")).alias(f"c{i}") for i, v in enumerate(x)]).first()
+    cells, out = [], {}
+    for i, (c, v, s) in enumerate(zip(columns, x, first, strict=True)):
+        q, a, b = s["q"] or (None, None, None), s["min"], s["max"]
+        low, high = (q[0] - O.IQR_WIDTH * (q[2] - q[0]), q[2] + O.IQR_WIDTH * (q[2] - q[0])) if s["q"] else (None, None)
+        edges = {"mean": s["mean"], "median": q[1], "min": a, "max": b, "q1": q[0], "q3": q[2], "outlier_low": low, "outlier_high": high}
+        out[c] = {"count": s["count"], **{k: _rounded(e) for k, e in edges.items()}, "outliers": 0, "skew": _rounded(s["skew"], 2), "histogram": []}
+        if a is None:
+            continue
+        width = (b - a) / bins
+        at = F.lit(0) if a == b else F.least(F.floor((v - F.lit(a)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(v.isNotNull(), at).alias("bin"), ((v < F.lit(low)) | (v > F.lit(high))).cast("long").alias("out")))
+        out[c]["histogram"] = [
+            {"bin": k, "lo": a if a == b else _rounded(a + k * width), "hi": _rounded(b) if k == bins - 1 or a == b else _rounded(a + k * width + width), "count": 0} for k in range(1 if a == b else bins)
+        ]
+    if cells:
+        for r in df.select(F.inline(F.array(*cells))).where("bin is not null").groupBy("i", "bin").agg(F.count("*").alias("n"), F.sum("out").alias("out")).collect():  # a bin a row
+            one = out[columns[r["i"]]]
+            one["histogram"][r["bin"]]["count"] = r["n"]
+            one["outliers"] += r["out"]
+    return out
+
+
 def distribution_profile(df: DataFrame, most: int = MOST_COLUMNS, bins: int = BINS) -> list[dict]:
     """Chart-ready profiles of the first `most` columns that have values."""
-    out = []
-    for c, kind in list(kinds(df).items())[:most]:
+    out, of = [], dict(list(kinds(df).items())[:most])
+    numbers = [c for c, kind in of.items() if kind == "numeric"]
+    numeric = _numeric_profiles(df, numbers, bins) if numbers else {}
+    for c, kind in of.items():
         item = {"column": c, "kind": kind}
         if kind == "numeric":
-            item |= numeric_stats(df, c).first().asDict() | {"histogram": [r.asDict() for r in histogram(df, c, bins).orderBy("bin").collect()]}
+            item |= numeric[c]
         elif kind == "identifier":
             item |= identifier_profile(df, c).first().asDict()
         else:

@@ -179,3 +179,15 @@ def test_a_cluster_must_name_its_shared_folder(spark):
                 shared.shared_dir(session)
         else:
             assert shared.shared_dir(session)
+
+
+def test_profiles_of_all_numeric_columns_at_once(spark):
+    """Two passes for all columns say what the queries of each column say."""
+    rows = [(i, float((i * 37) % 101) / 4, 5.0, None if i % 3 else float(i)) for i in range(90)] + [(1000, -50.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "a long, b double, same double, gaps double")
+    got = {p["column"]: p for p in distribution.distribution_profile(df)}
+    numeric = [c for c, p in got.items() if p["kind"] == "numeric"]
+    assert {"b", "same"} <= set(numeric)
+    for c in numeric:
+        want = distribution.numeric_stats(df, c).first().asDict() | {"histogram": [r.asDict() for r in distribution.histogram(df, c).orderBy("bin").collect()]}
+        assert {k: got[c][k] for k in want} == want
