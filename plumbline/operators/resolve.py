@@ -1,8 +1,9 @@
 """Entity resolution: distinct values scored against a canonical list, then mapped to the rows.
 
 Values known by memory or equal after normalisation are settled first; only what is left meets
-the Python kernel, in Arrow batches. The canonical list is a parameter of bounded size (`MOST`);
-the result joins back on the value, as Spark sees fit.
+the Python kernel, in Arrow batches. A canonical list of over `MOST` entries is cut into parts: each
+value meets each part in a row of its own, and an aggregation keeps the best. The result joins back on
+the value, as Spark sees fit.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ class EntityResolver:
 
     def __init__(self, canonical: Iterable[str], accept: float = ACCEPT, review: float = REVIEW, fuzzy_weight: float = FUZZY_WEIGHT, memory: dict[str, str] | None = None):
         self.canonical = list(dict.fromkeys(canonical))
-        if len(self.canonical) > MOST:
-            raise ValueError(f"A canonical list of over {MOST} entries needs blocking; resolve it by parts.")
         self.norm = {c: K.normalize(c) for c in self.canonical}
         self.exact: dict[str, str] = {}
         for c, n in self.norm.items():
@@ -51,25 +50,43 @@ class EntityResolver:
         return value, c if band != "unresolved" else None, best, "fuzzy+phonetic", band, [(c, s) for s, c in scored]
 
 
-def resolve_distinct(df: DataFrame, column: str, resolver: EntityResolver) -> DataFrame:
+    def part(self, names: list[str]) -> EntityResolver:
+        """The same resolver for some of its names."""
+        out = EntityResolver(names, self.accept, self.review, self.weight)
+        out.memory = self.memory
+        return out
+
+
+def resolve_distinct(df: DataFrame, column: str, resolver: EntityResolver, most: int = MOST) -> DataFrame:
     """One match for each distinct value of a column."""
+    names = resolver.canonical
+    parts = [resolver] if len(names) <= most else [resolver.part(names[a : a + most]) for a in range(0, len(names), most)]
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple] = {}  # by normalised value, within a task
+        seen: dict[tuple, tuple] = {}  # by part and normalised value, within a task
         for pdf in batches:
             rows = []
-            for v in pdf["value"]:
-                q = K.normalize(v)
+            for v, p in zip(pdf["value"], pdf["part"], strict=True):
+                q = p, K.normalize(v)
                 if q not in seen:
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen[q] = resolver.resolve(v)
-                rows.append((v, *seen[q][1:]))
-            out = pd.DataFrame(rows, columns=["value", "canonical", "score", "method", "band", "alternatives"])
+                    seen[q] = parts[p].resolve(v)
+                rows.append((v, *seen[q][1:], p))
+            out = pd.DataFrame(rows, columns=["value", "canonical", "score", "method", "band", "alternatives", "part"])
             out["alternatives"] = [[{"canonical": c, "score": s} for c, s in a] for a in out["alternatives"]]
             yield out
 
-    return df.select(X.string(f"`{column}`").alias("value")).distinct().mapInPandas(kernel, MATCH)
+    values = df.select(X.string(f"`{column}`").alias("value")).distinct().select("value", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))).alias("part"))
+    found = values.mapInPandas(kernel, f"{MATCH}, part int")
+    if len(parts) == 1:
+        return found.drop("part")
+    # what is known or equal wins; of equal scores the name that comes first in the list
+    best = F.max_by(F.struct("canonical", "score", "method", "band", "alternatives"), F.struct(F.col("method") != "fuzzy+phonetic", "score", -F.col("part")))
+    near = F.collect_list(F.transform("alternatives", lambda a, i: F.struct((-a["score"]).alias("s"), "part", i.alias("i"), a["canonical"].alias("c"))))
+    merged = F.transform(F.slice(F.array_sort(F.flatten("near")), 1, 3), lambda a: F.struct(a["c"].alias("canonical"), (-a["s"]).alias("score")))
+    out = found.groupBy("value").agg(best.alias("best"), near.alias("near"))  # three names of each part
+    return out.select("value", *[f"best.{c}" for c in ("canonical", "score", "method", "band")], F.when(F.col("best.method") == "fuzzy+phonetic", merged).otherwise(F.col("best.alternatives")).alias("alternatives"))
 
 
 def resolve_column(df: DataFrame, column: str, into: str, reference: str | Path | Iterable[str] | None = None, auto_accept: float = ACCEPT, review: float = REVIEW, memory: dict | None = None, source: DataFrame | None = None, **_) -> DataFrame:

@@ -91,6 +91,14 @@ def test_cohesion_by_brute_force(spark, chunk):
         assert got[c] == (min(scores), pytest.approx(sum(scores) / len(scores)))
 
 
+def test_long_lists_are_resolved_by_parts(spark):
+    names = ["Abuja North", "Kano", "Kano Municipal", "Katsina", "Kaduna", "Lagos Island", "Lagos", "Port Harcourt", "Zaria"]
+    df = spark.createDataFrame([(x,) for x in ["kano", "Kastina", "lagos iland", "harcourt port", "taught", "", None, "xyz", "Lagos Mainland"]], "v string")
+    resolver = resolve.EntityResolver(names, memory={"taught": "Zaria"})
+    whole, parted = ({r["value"]: tuple(r) for r in resolve.resolve_distinct(df, "v", resolver, most).collect()} for most in (100, 2))
+    assert whole == parted and whole["kano"][3] == "exact" and whole["taught"][1] == "Zaria"
+
+
 def test_entity_types(spark):
     from plumbline.operators import entities
 
