@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -12,6 +13,7 @@ from plumbline.operators.distribution import distribution_profile
 from plumbline.operators.domains import Domains
 from plumbline.operators.profile import ColumnProfile, profile, profile_to_plan
 from plumbline.plans.plan import Plan, Run, run_plan
+from plumbline.sources.files import head
 from plumbline.sources.router import read_any
 from plumbline.sources.sniff import IngestReport
 
@@ -27,6 +29,10 @@ class Region:
     phone_region: str
     date_order: str
     currency: tuple[str, ...] = ()
+    #: JSON files of the region's states ({"states": [...]}, {"canonical": [...]} or a plain list or object) and of its
+    #: places ({"places": {place: state}} or a plain object).
+    states_ref: str | None = None
+    places_ref: str | None = None
 
 
 # --- Fixed values: regions. ---
@@ -46,6 +52,20 @@ def list_regions() -> list[str]:
     return sorted(REGIONS)
 
 
+def load_reference(spark: SparkSession, region: Region) -> dict:
+    """{"states": names, "places": {place: state}} of a region's files, for `profile`; {} for a region without any."""
+
+    def content(path: str | None) -> dict | list | None:
+        return json.loads(head(spark, path, 1 << 28)) if path else None
+
+    states, places, out = content(region.states_ref), content(region.places_ref), {}
+    if states is not None:
+        listed = states.get("states") or states.get("canonical") or states if isinstance(states, dict) else states
+        out["states"] = list(listed)
+        out["places"] = dict((places or {}).get("places", places or {}))
+    return out
+
+
 def profile_file(spark: SparkSession, path: str) -> dict:
     """Ingest report, proposed headers, types and a preview of a file."""
     df, report = read_any(spark, path)
@@ -79,7 +99,7 @@ def clean(spark: SparkSession, path: str, region: str = "GENERIC", rename: dict[
     tell({"step": "read", "columns": len(df.columns)})
     if rename:
         df = df.withColumnsRenamed(rename)
-    found = profile(df)
+    found = profile(df, **load_reference(spark, get_region(region)))
     for p in found:
         if types and p.column in types:
             p.semantic_type = types[p.column]

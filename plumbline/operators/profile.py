@@ -247,15 +247,15 @@ def place_share(df: DataFrame, columns: list[str], states: list[str] | None = No
     return {c: found.get(c, 0.0) for c in columns}
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, gazetteer: bool = True, exact: bool = False) -> list[ColumnProfile]:
-    """A profile for each column, in order."""
+def profile(df: DataFrame, columns: list[str] | None = None, gazetteer: bool = True, exact: bool = False, states: list[str] | None = None, places: dict[str, str] | None = None) -> list[ColumnProfile]:
+    """A profile for each column, in order; `states` and `places` stand in for the ones that come with the library."""
     found = [r.asDict() for r in rates(df, columns, exact).collect()]  # one row a column
     found.sort(key=lambda r: (columns or df.columns).index(r["column"]))
     unsure = {r["column"]: r["id_len"] for r in found if r["n"] and r["alnum"] >= 0.8 and r["distinct"] / r["n"] >= 0.6}
     shares = id_length_shares(df, unsure)
     first = [decide(r, shares.get(r["column"], 0.0), None if gazetteer else {}) for r in found]
     open_ = [r["column"] for r, p in zip(found, first, strict=True) if p is None]
-    geo = place_share(df, open_) if open_ else {}
+    geo = place_share(df, open_, states, places) if open_ else {}
     return [p or decide(r, shares.get(r["column"], 0.0), geo) for r, p in zip(found, first, strict=True)]
 
 

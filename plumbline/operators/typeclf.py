@@ -20,7 +20,7 @@ from plumbline.operators import profile as P
 
 FEATURES = ["num", "date", "bool", "gender", "email", "phone", "id", "distinct_ratio", "tokens", "length", "space", "cardinality", "is_01", "time"]
 KINDS = ("numeric", "date", "datetime", "boolean", "gender", "email", "phone", "identifier", "name", "geo", "categorical", "free_text", "indicator")
-PER_KIND, TREES, SEED, JUNK = 120, 200, 1864, 0.45
+PER_KIND, TREES, SEED, JUNK = 120, 200, 7, 0.45
 CONFIDENCE, MARGIN, NUMERIC_CONFIDENCE, NUMERIC_MARGIN = 0.35, 0.20, 0.30, 0.10
 SOFT = ("categorical", "free_text", "name")
 

@@ -549,6 +549,13 @@ def duplicate_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(totals.values())], "duplicate_groups long, removable_rows long")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY size DESC, first) AS \"group\", size, first AS keep_row FROM ({_GROUPS}) ORDER BY 1 LIMIT 50")
+def duplicate_payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 largest groups with the row of each that would stay."""
+    rows, _ = duplicates.payload(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], ["text"])
+    return rows.select("group", "size", F.col("keep_row.doc_id").alias("keep_row"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'CHEAP' ELSE p_type END AS p_type, 'x' AS p_brand FROM part")
 def merge_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = review.Decisions(set_all={"p_brand": "x"}, merges={"p_type": [{"into": "CHEAP", "members": ["ECONOMY", "PROMO"]}]})

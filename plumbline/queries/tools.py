@@ -15,6 +15,7 @@ from plumbline import api
 from plumbline.functions import kernels as K
 from plumbline.functions import text as X
 from plumbline.operators import distribution, domains, duplicates, entities, flows, headers, knowledge, names, privacy, review, scoreboard
+from plumbline.operators.profile import profile
 from plumbline.operators.transforms import list_transforms
 from plumbline.plans.plan import run_plan
 from plumbline.plans.shared import new_path
@@ -240,8 +241,6 @@ def sensitive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_values([("c_custkey", "C Custkey"), ("c_name", "C Name"), ("c_nationkey", "C Nationkey"), ("c_acctbal", "C Acctbal"), ("c_mktsegment", "C Mktsegment")], '"column", proposed'))
 def propose_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.operators.profile import profile
-
     return _rows(spark, [(h["column"], h["proposed"]) for h in headers.propose_headers(profile(read(spark, sf_dir, "customer")))], "column string, proposed string")
 
 
@@ -449,6 +448,18 @@ def corrections_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.known(df, "v", "state", spark.read.schema(knowledge.SCHEMA).json(path)).select("c_custkey", "known_kind", "known_canonical")
 
 
+@query(_values([("pref", "geo"), ("other", "categorical")], '"column", kind'))
+def region_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a region of one's own: its prefectures are places, the default region's states aren't."""
+    folder = new_path(spark, "region")
+    export.store(spark, f"{folder}/states.json", json.dumps({"states": ["Hokkaido", "Aomori", "Iwate", "Akita"]}).encode())
+    export.store(spark, f"{folder}/places.json", json.dumps({"places": {"sapporo": "Hokkaido"}}).encode())
+    region = api.Region("JP", "Japan", "JP", "YMD", states_ref=f"{folder}/states.json", places_ref=f"{folder}/places.json")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values) + 1).cast("int"))
+    df = read(spark, sf_dir, "customer").select(pick(("Hokkaido", "aomori", "Iwate", "Sapporo")).alias("pref"), pick(("round", "square", "flat", "long")).alias("other"))
+    return _rows(spark, [(p.column, p.semantic_type) for p in profile(df, **api.load_reference(spark, region))], "column string, kind string")
+
+
 # --- what there is ---
 @query(_values([("c_custkey", "identifier"), ("c_name", "identifier"), ("c_acctbal", "numeric"), ("c_mktsegment", "categorical")], '"column", kind'))
 def column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
