@@ -128,6 +128,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    # what the density finds, cut out of the test pages by the one article element that each has; a check of these
+    # pages' results, not of the method
+    "op7_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+        t AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1)>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM a),
+        u AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS x FROM t),
+        b AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM u)
+        SELECT page_id, url, text, length(text) AS n_chars FROM b
+    """,
     "op10_line_dedup": f"""
         WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
         t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS x FROM l),

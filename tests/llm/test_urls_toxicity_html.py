@@ -222,6 +222,12 @@ def test_broken_pages_take_little_time(page):
     assert isinstance(htmltext.extract(page), str)
 
 
+def test_html_against_sql(spark):
+    sf = str(DATA / "sf0.01")
+    ours, theirs = both(spark, views(sf), QUERIES["op7_html_text"], ORACLE_SQL["op7_html_text"], sf)
+    assert ours == theirs
+
+
 def test_articles_by_density_alone(spark):
     """With plain div elements in place of article elements, the density sums pick the same texts."""
     pages = [r["html"] for r in spark.read.parquet(str(DATA / "sf0.01/pages.parquet")).select("html").collect()]
