@@ -122,7 +122,8 @@ def group_similar(df: DataFrame, column: str, threshold: float = GROUP) -> DataF
     return _shown(members)
 
 
-def _shown(members: DataFrame, *more) -> DataFrame:
+def _shown(members: DataFrame) -> DataFrame:
+    """One row for each cluster, which names all its members: a cluster must fit a row."""
     rank = F.struct("n", F.length("value").alias("len"), "value")
     listed = F.transform(F.reverse(F.array_sort(F.collect_list(rank))), lambda m: m["value"])
     return members.groupBy("component").agg(F.max_by("value", rank).alias("representative"), listed.alias("members"), F.count("*").alias("size")).where("size > 1").select("representative", "members", "size", "component")

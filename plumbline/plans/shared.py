@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_bases: dict[str, str] = {}  # of each shared folder, this process's folder in it
 _written: list[str] = []
 
 
@@ -35,17 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nobody has; what is written there is deleted like a written table."""
+    where = shared_dir(spark)
+    if where not in _bases:
+        _bases[where] = f"{where}/plumbline-{uuid.uuid4().hex}"
+        base, fs = _at(spark, _bases[where])
+        fs.mkdirs(base)
+        fs.deleteOnExit(base)  # only what is there already can be registered
+    path = f"{_bases[where]}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    where, fs = _at(spark, path)
-    fs.deleteOnExit(where)
     df.write.parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
@@ -59,7 +66,7 @@ def drop(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes all that `materialize` has written in this process: for callers whose results are computed and stored."""
+    """Deletes all that this process has written in the shared folder: for callers whose results are computed and stored."""
     for path in list(_written):
         _delete(spark, path)
 
@@ -72,7 +79,6 @@ def _at(spark: SparkSession, path: str) -> tuple:
 def _delete(spark: SparkSession, path: str) -> None:
     where, fs = _at(spark, path)
     fs.delete(where, True)
-    fs.cancelDeleteOnExit(where)
     if path in _written:
         _written.remove(path)
 
