@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.plans.shared import materialize
 
 DIM = 256
 #: Cosine from which on two values are close. (fixed value)
@@ -42,7 +43,9 @@ def lexical_vector(c: Column | str, dim: int = DIM) -> Column:
     """The dense embedding of a text as an array of floats; zeros for a blank."""
     places = F.transform(grams(c), lambda g: (F.conv(F.substr(F.md5(g.cast("binary")), F.lit(27), F.lit(6)), 16, 10).cast("long") % dim).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)).cast("double"))
-    return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: F.try_divide(x, norm(v)).cast("float")))[0]
+    unit = lambda v, n: F.transform(v, lambda x: F.try_divide(x, n).cast("float"))
+    # transforms of one element bind the counts and their norm, so that neither is computed for each entry
+    return F.transform(F.array(counts), lambda v: F.transform(F.array(norm(v)), lambda n: unit(v, n))[0])[0]
 
 
 def norm(v: Column) -> Column:
@@ -108,7 +111,8 @@ def semantic_pairs(df: DataFrame, column: str, threshold: float = CLOSE, embed:
     """(a, b, score): pairs of distinct non-blank values of a column that are close, a the lesser. `embed`
     adds `vector` to a table (id, value); the one at hand knows spelling and shared words, not meaning."""
     v = df.select(X.strip(X.string(f"`{column}`")).alias("value")).where("value <> ''").distinct().select(F.xxhash64("value").alias("id"), "value")
-    found = close_pairs(embed(v), threshold)
+    v = materialize(embed(v), "vectors")
+    found = close_pairs(v, threshold)
     name = lambda c: v.select(F.col("id").alias(c), F.col("value").alias(f"{c}_value"))
     named = found.join(name("a"), "a").join(name("b"), "b")
     return named.select(F.least("a_value", "b_value").alias("a"), F.greatest("a_value", "b_value").alias("b"), F.round("cosine", 3).alias("score"))
