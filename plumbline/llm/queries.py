@@ -55,7 +55,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.remove_repeats(read(spark, sf_dir, "documents"), window=spans.WINDOW, across=True)
+    return spans.remove_repeats(read(spark, sf_dir, "documents"), window=spans.WINDOW, whole=True)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

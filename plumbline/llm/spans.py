@@ -16,6 +16,9 @@ sentence of a repeated run goes. It begins with the run that starts where it doe
 whose start is repeated are hashed. Wherever a passage of 50 words stands, `WINDOW` leaves at most
 15 words before its first common cut and 14 after its last: of the 21 or more between, all are in runs.
 
+With `whole`, an occurrence that overlaps the first one in its own text loses only what stands behind
+that, so that the first stays whole: of a word said a hundred times, one run is left.
+
 With `across`, a run that stands in one document alone isn't repeated, however often: a refrain or a
 list is the document's own.
 
@@ -206,7 +209,7 @@ def _written(df: DataFrame, label: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0, across: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0, across: bool = False, whole: bool = False) -> DataFrame:
     """(k1, k2, begin, stop): byte ranges of all but the first occurrence of each repeated run."""
     spark = docs.sparkSession
     k1, k2 = row_key("doc_id", "text")
@@ -223,16 +226,19 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     found = _written(found.select("doc_id", "k1", "k2", "begin", "stop", "h", "g"), "candidates")
     drop(repeated)
     # written, so that both sides of the join come from an exchange and a hot run's rows can be split
-    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "begin")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "begin", "stop")
     # two documents differ in k1, but for a chance of 2 ** -64
     repeats = (F.min("k1") != F.max("k1")) if across else (F.count("*") > 1)
     firsts = found.groupBy("h", "g").agg(F.min(at).alias("first"), repeats.alias("repeats")).where("repeats")
-    firsts = _written(firsts.select("h", "g", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("k1", "k2", "begin")]), "firsts")
-    later = (F.col("k1") != F.col("first_k1")) | (F.col("k2") != F.col("first_k2")) | (F.col("begin") != F.col("first_begin"))
-    return found.join(firsts, ["h", "g"]).where(later).select("k1", "k2", "begin", "stop")
+    firsts = _written(firsts.select("h", "g", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("k1", "k2", "begin", "stop")]), "firsts")
+    other = (F.col("k1") != F.col("first_k1")) | (F.col("k2") != F.col("first_k2"))
+    later = found.join(firsts, ["h", "g"]).where(other | (F.col("begin") != F.col("first_begin")))
+    if whole:
+        later = later.withColumn("begin", F.when(other, F.col("begin")).otherwise(F.greatest("begin", "first_stop"))).where("begin < stop")
+    return later.select("k1", "k2", "begin", "stop")
 
 
-def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0, across: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0, across: bool = False, whole: bool = False) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, text without repeated passages, n_removed.
 
     n_removed: UTF-8 bytes that went. A text that loses nothing is unchanged; one that is wholly a
@@ -242,7 +248,7 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     table gives an empty result.
     Sets the session's rows of an Arrow batch (`common.bounded`).
     """
-    gone = repeated_spans(docs, sentences, words, window, across).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "stop")).alias("cuts"))
+    gone = repeated_spans(docs, sentences, words, window, across, whole).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "stop")).alias("cuts"))
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = slim.withColumns({"k1": k1, "k2": k2}).join(gone, ["k1", "k2"], "left").select("doc_id", "text", "cuts")

@@ -303,6 +303,14 @@ def test_runs_of_one_document_are_its_own(docs):
     assert alone["n_removed"] > 0 and spans.remove_repeats(docs(rows[:1]), across=True).first()["n_removed"] == 0
 
 
+def test_a_passage_repeated_in_one_document_goes(spark, docs, tmp_path):
+    own = "Here is what stands between them in nobody else's text. "
+    rows = [(1, f"{PASSAGE} {own}{PASSAGE} The end."), (2, "la " * 100), (3, "Nothing of this one is said twice.")]
+    out = removed_by_query(spark, docs, tmp_path, rows)
+    assert out[1] == f"{PASSAGE} {own}The end." and out[3] == rows[2][1]
+    assert spans.WORDS <= len(out[2].split()) < spans.WORDS + 2 * spans.WINDOW
+
+
 @pytest.mark.parametrize("window", [0, spans.WINDOW])
 def test_a_semi_join_does_what_the_filter_does(spark, docs, monkeypatch, window):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").collect()] + [(None, PASSAGE), (1000, "a " + PASSAGE)]
