@@ -16,8 +16,11 @@ sentence of a repeated run goes. It begins with the run that starts where it doe
 whose start is repeated are hashed. Wherever a passage of 50 words stands, `WINDOW` leaves at most
 15 words before its first common cut and 14 after its last: of the 21 or more between, all are in runs.
 
-With `whole`, an occurrence that overlaps the first one in its own text loses only what stands behind
-that, so that the first stays whole: of a word said a hundred times, one run is left.
+With `whole`, repeated passages go whole and the first stays whole. What is left of a passage's outermost
+sentences goes word by word, as far as up to `REACH` words on each side are those beside the first
+occurrence of the run at that edge (which is found by 64 bits of its hash). An occurrence that overlaps
+the first one in its own text loses only what stands behind that: of a word said a hundred times, one run
+is left.
 
 With `across`, a run that stands in one document alone isn't repeated, however often: a refrain or a
 list is the document's own.
@@ -35,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,10 @@ LONG, CUT = 12, 8
 #: Words of a window of which the least is cut after: the widest that is sure of a common run in any 50 words.
 WINDOW = 8
 
+#: Words on each side of a run that are compared with those of its first occurrence: as many as can stand
+#: beside the outermost common cuts of a passage, and one more.
+REACH = 2 * WINDOW
+
 #: Repeated hashes that the Bloom filter is made for: 11 of its bits for each.
 MOST_FILTERED = 12_000_000
 
@@ -176,6 +184,75 @@ def _candidates(batches: Iterator[pa.RecordBatch], bits, size: int, sentences: i
         yield pa.RecordBatch.from_arrays(found, ["doc_id", "k1", "k2", "begin", "stop", "h", "g", "lead"])
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text's overlapping and adjoining cuts one region, with the runs at its left (side 0) and right edge."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 100):
+            batch = whole.slice(k, 100)
+            cuts, lists = batch.column(2).flatten(), batch.column(2)
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            begin, stop, h = (cuts.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.lexsort((-stop, begin, owner))
+            owner, begin, stop, h = owner[order], begin[order], stop[order], h[order]
+            text = owner * (int(stop.max(initial=0)) + 1)
+            upto = np.maximum.accumulate(text + stop)
+            head = np.flatnonzero(np.concatenate(([True], (text + begin)[1:] > upto[:-1])))
+            region = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(begin))))
+            last = np.lexsort((begin, -stop, region))[head]
+            rows = pa.array(np.concatenate((owner[head], owner[head])))
+            n = np.zeros(len(head), np.int64)
+            found = [np.concatenate(v) for v in ((begin[head], begin[head]), (stop[last], stop[last]), (n, n + 1), (n, begin[last]), (h[head], h[last]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found)], ["k1", "k2", "begin", "stop", "side", "inner", "h"])
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words before (the nearest first) and after some runs of each text."""
+    for batch in runs(batches, most=RUN):
+        w = Words(batch.column(1), DARK)
+        lists = batch.column(3)
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        h, begin, stop = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        a, b = (np.searchsorted(w.start, w.at[owner] + at) for at in (begin, stop))
+        rows = pa.array(owner)
+        found = [pa.array(h), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(stop)]
+        found += [_lists(w.hash, a - 1, np.minimum(a - w.first[owner], REACH), -1), _lists(w.hash, b, np.minimum(w.first[owner + 1] - b, REACH), 1)]
+        yield pa.RecordBatch.from_arrays(found, ["h", "first_k1", "first_k2", "first_stop", "before", "after"])
+
+
+def _lists(hashes: np.ndarray, start: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
+    ends = np.cumsum(count)
+    k = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[np.repeat(start, count) + step * k].view(np.int64)))
+
+
+def _extended(texts: pa.Array, cuts: list[list[dict]]) -> list[list[dict]]:
+    """The cuts of each text, longer by the words in which the text goes on like the first occurrence of the run at that edge."""
+    w, out = Words(texts, DARK), []
+    hashes = w.hash.view(np.int64)
+    for i, edges in enumerate(cuts):
+        low, high, zero = int(w.first[i]), int(w.first[i + 1]), int(w.at[i])
+        word = lambda at, zero=zero: int(np.searchsorted(w.start, zero + at))
+        longer = []
+        for c in edges:
+            begin, stop, n, words = c["begin"], c["stop"], 0, c["words"] or []
+            if c["side"] == 0:
+                k = word(begin)
+                room = k - (max(low, word(c["first_stop"])) if c["same"] else low)
+                while n < min(len(words), room) and hashes[k - 1 - n] == words[n]:
+                    n += 1
+                begin = int(w.start[k - n]) - zero if n else begin
+            else:
+                k = word(stop)
+                room = min(high - k, word(c["inner"]) - word(c["first_stop"])) if c["same"] else high - k
+                while n < min(len(words), room) and hashes[k + n] == words[n]:
+                    n += 1
+                stop = (int(w.start[k + n]) if k + n < high else int(w.at[i + 1])) - zero if n else stop
+            longer.append({"begin": begin, "stop": stop})
+        out.append(longer)
+    return out
+
+
 def _without(text: str | None, cuts: list[dict] | None) -> tuple[str | None, int]:
     """`text` without the byte ranges, and how many bytes went."""
     if not cuts:
@@ -189,9 +266,13 @@ def _without(text: str | None, cuts: list[dict] | None) -> tuple[str | None, int
     return b"".join([*out, raw[upto:]]).decode(), gone
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _rebuilt(batches: Iterator[pa.RecordBatch], schema: pa.Schema, whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in runs(batches):
-        made = [_without(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        cuts = batch.column(2).to_pylist()
+        if whole and (cut := [i for i, c in enumerate(cuts) if c]):
+            for i, c in zip(cut, _extended(batch.column(1).take(pa.array(cut)), [cuts[i] for i in cut]), strict=True):
+                cuts[i] = c
+        made = [_without(t, c) for t, c in zip(batch.column(1).to_pylist(), cuts, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], schema=schema)
 
 
@@ -209,11 +290,16 @@ def _written(df: DataFrame, label: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0, across: bool = False, whole: bool = False) -> DataFrame:
-    """(k1, k2, begin, stop): byte ranges of all but the first occurrence of each repeated run."""
+    """(k1, k2, cuts): for each text with repeated runs the byte ranges `begin` to `stop` of all but their first
+    occurrences. With `whole`, those of regions, once for each edge, and what `_extended` asks for."""
     spark = docs.sparkSession
     k1, k2 = row_key("doc_id", "text")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = _slim(docs)
     hashes = bounded(slim.select("text")).mapInArrow(lambda b: _hashes(b, sentences, words, window), "h long")
     repeated = _written(hashes.groupBy("h").count().where("count > 1").select("h"), "repeated")
     shared, size = None, 0
@@ -233,9 +319,23 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     firsts = _written(firsts.select("h", "g", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("k1", "k2", "begin", "stop")]), "firsts")
     other = (F.col("k1") != F.col("first_k1")) | (F.col("k2") != F.col("first_k2"))
     later = found.join(firsts, ["h", "g"]).where(other | (F.col("begin") != F.col("first_begin")))
-    if whole:
-        later = later.withColumn("begin", F.when(other, F.col("begin")).otherwise(F.greatest("begin", "first_stop"))).where("begin < stop")
-    return later.select("k1", "k2", "begin", "stop")
+    if not whole:
+        return later.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "stop")).alias("cuts"))
+    begin = F.when(other, F.col("begin")).otherwise(F.greatest("begin", "first_stop")).alias("begin")
+    later = later.select("k1", "k2", begin, "stop", "h").where("begin < stop")
+    cuts = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "stop", "h")).alias("cuts"))
+    edges = _written(bounded(cuts).mapInArrow(_edges, "k1 long, k2 long, begin long, stop long, side long, inner long, h long"), "edges")
+    drop(found)
+    asked = firsts.join(edges.select("h").distinct(), "h", "left_semi")
+    asked = asked.groupBy(F.col("first_k1").alias("k1"), F.col("first_k2").alias("k2")).agg(F.collect_set(F.struct("h", "first_begin", "first_stop")).alias("at"))
+    asked = keyed.join(asked, ["k1", "k2"]).select("k1", "text", "k2", "at")
+    beside = bounded(asked).mapInArrow(_beside, "h long, first_k1 long, first_k2 long, first_stop long, before array<long>, after array<long>")
+    beside = _written(beside.dropDuplicates(["h"]), "beside")
+    drop(firsts)
+    same = (F.col("k1") == F.col("first_k1")) & (F.col("k2") == F.col("first_k2"))
+    words = F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("after"))
+    cut = F.struct("begin", "stop", "side", "inner", "first_stop", same.alias("same"), words.alias("words"))
+    return edges.join(beside, "h", "left").groupBy("k1", "k2").agg(F.collect_set(cut).alias("cuts"))
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0, across: bool = False, whole: bool = False) -> DataFrame:
@@ -248,9 +348,8 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     table gives an empty result.
     Sets the session's rows of an Arrow batch (`common.bounded`).
     """
-    gone = repeated_spans(docs, sentences, words, window, across, whole).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "stop")).alias("cuts"))
+    gone = repeated_spans(docs, sentences, words, window, across, whole)
     k1, k2 = row_key("doc_id", "text")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = slim.withColumns({"k1": k1, "k2": k2}).join(gone, ["k1", "k2"], "left").select("doc_id", "text", "cuts")
+    met = _slim(docs).withColumns({"k1": k1, "k2": k2}).join(gone, ["k1", "k2"], "left").select("doc_id", "text", "cuts")
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
-    return bounded(met).mapInArrow(lambda b: _rebuilt(b, schema), "doc_id long, text string, n_removed long")
+    return bounded(met).mapInArrow(lambda b: _rebuilt(b, schema, whole), "doc_id long, text string, n_removed long")

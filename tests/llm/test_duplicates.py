@@ -331,3 +331,16 @@ def test_fifty_words_inside_long_sentences_are_found(spark, docs, tmp_path):
     out = removed_by_query(spark, docs, tmp_path, rows)
     for i, t in rows:
         assert out[i] == t if i < 30 else len(t.split()) - len(out[i].split()) >= 21
+
+
+def test_fifty_words_inside_long_sentences_go_whole(spark, docs, tmp_path):
+    rng = np.random.default_rng(11)
+    rows, passages, left = [], [[f"w{k}" for k in rng.integers(0, 4000, 50)] for _ in range(30)], {}
+    for i in range(90):
+        own = [f"w{k}of{i}" for k in rng.integers(0, 4000, 40)] if i < 60 else []  # the last 30 are a passage alone
+        twice = passages[i % 30] if i % 2 else []
+        rows.append((i, " ".join(own[: i % 20] + passages[i % 30] + own[20:] + twice + own[5:10])))
+        first = passages[i % 30] if i < 30 else []
+        left[i] = " ".join(own[: i % 20] + first + own[20:] + own[5:10])
+    out = removed_by_query(spark, docs, tmp_path, rows)
+    assert {i: t.strip() for i, t in out.items()} == left
