@@ -13,7 +13,8 @@ sentences is joined to other text.
 
 With `window`, the shortest such run that ends at each sentence counts too, so that every whole
 sentence of a repeated run goes. It begins with the run that starts where it does, so only those
-whose start is repeated are hashed. Wherever a passage of 50 words stands, `WINDOW` leaves at most
+whose start is repeated are hashed. Runs of uncut sentences count beside those of their parts, as the words
+around a passage have a say in the cuts near its ends: every repeated run of whole sentences goes. Wherever a passage of 50 words stands, `WINDOW` leaves at most
 15 words before its first common cut and 14 after its last: of the 21 or more between, all are in runs.
 
 With `whole`, repeated passages go whole and the first stays whole. What is left of a passage's outermost
@@ -73,7 +74,7 @@ class Runs(Words):
         n = len(self.hash)
         self.owner = self.begin = self.stop = np.zeros(0, np.int64)
         self.run = self.check = self.lead = np.zeros(0, np.uint64)
-        self.pieces = None
+        self.units, self.upto, self.a, self.z = [], [], self.owner, self.owner
         if not n:
             return
         ends = self._sentence_ends()
@@ -82,21 +83,40 @@ class Runs(Words):
         cut = long & (self._minima(window) if window else self.hash & np.uint64(CUT - 1) == 0)
         cut[ends] = True
         last = np.flatnonzero(cut)  # the last word of each piece
+        self.units = [self._units(last), *([self._units(ends)] if window else [])]
+        a, z = self._shortest(self.units[0], sentences, words, True)
+        self.upto = [np.full(n, -1)]  # for each word, the last one of the shortest run that begins there
+        self.upto[0][a] = z
+        if window:
+            b, y = self._shortest(self.units[1], sentences, words, False)
+            self.upto.append(np.full(n, -1))
+            self.upto[1][b] = y
+            more = self.upto[0][b] != y
+            a, z = np.concatenate((a, b[more])), np.concatenate((z, y[more]))
+            order = np.argsort(a, kind="stable")
+            a, z = a[order], z[order]
+        self._place(a, z)
+        self.lead = self.run
+
+    def _units(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         head = np.concatenate(([0], last[:-1] + 1))
-        owner = np.searchsorted(self.first, head, "right") - 1
+        return head, last, np.searchsorted(self.first, head, "right") - 1
+
+    @staticmethod
+    def _shortest(units: tuple, sentences: int, words: int, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        head, last, owner = units
         k = np.arange(len(last))
         to = np.maximum(np.searchsorted(last, head + words - 1), k + sentences - 1)
-        to = np.where(last - head + 1 >= words, k, to)  # a long sentence that couldn't be cut is a run of its own
+        if alone:  # a long sentence that couldn't be cut is a run of its own
+            to = np.where(last - head + 1 >= words, k, to)
         ok = to < len(last)
         ok[ok] = owner[to[ok]] == owner[ok]
-        self.pieces = head, last, owner, k[ok], to[ok]
-        self._place(k[ok], to[ok])
-        self.lead = self.run
+        return head[ok], last[to[ok]]
 
-    def _place(self, k: np.ndarray, to: np.ndarray) -> None:
-        head, last, owner = self.pieces[:3]
-        a, b = head[k], last[to] + 1
-        self.owner = owner[k]
+    def _place(self, a: np.ndarray, z: np.ndarray) -> None:
+        """The runs from word `a` to word `z`, sorted by `a`."""
+        self.a, self.z, b = a, z, z + 1
+        self.owner = np.searchsorted(self.first, a, "right") - 1
         after = np.append(self.start, len(self.raw))[b]  # up to the next word, so that white space goes along
         self.begin = self.start[a] - self.at[self.owner]
         self.stop = np.minimum(after, self.at[self.owner + 1]) - self.at[self.owner]
@@ -104,24 +124,31 @@ class Runs(Words):
         self.check = self._spans(mix(self.hash ^ np.uint64(0x5BD1E9955BD1E995)), a, b)
 
     def with_endings(self, of: np.ndarray, sentences: int, words: int) -> None:
-        """Keeps the runs `of`, and adds the shortest run that ends at each piece if it begins with one of them."""
-        if not len(of):
-            self._place(of, of) if self.pieces else None
-            self.lead = self.run
-            return
-        head, last, owner, k, to = self.pieces
-        first = np.zeros(len(last), np.uint64)
-        first[k] = self.run
-        end = np.arange(len(last))
-        start = np.minimum(np.searchsorted(head, last - words + 1, "right") - 1, end - sentences + 1)
-        reach = np.full(len(last), -1)
-        reach[k[of]] = to[of]
-        ok = start >= 0
-        ok[ok] = (owner[start[ok]] == owner[ok]) & (reach[start[ok]] >= 0) & (reach[start[ok]] < end[ok])
-        k, to = np.concatenate((k[of], start[ok])), np.concatenate((to[of], end[ok]))
-        order = np.argsort(k, kind="stable")
-        self._place(k[order], to[order])
-        self.lead = first[k[order]]  # of an added run, the hash of the one that it begins with
+        """Keeps the runs `of`, and adds the shortest run that ends at each piece or sentence if it begins with one of them."""
+        a, z, lead = [self.a[of]], [self.z[of]], [self.run[of]]
+        for (head, last, owner), upto in zip(self.units, self.upto, strict=True):
+            kept, hashes = self._leads(of, upto)
+            end = np.arange(len(last))
+            start = np.minimum(np.searchsorted(head, last - words + 1, "right") - 1, end - sentences + 1)
+            ok = start >= 0
+            ok[ok] = (owner[start[ok]] == owner[ok]) & kept[head[start[ok]]] & (upto[head[start[ok]]] < last[ok])
+            begin = head[start[ok]]
+            a, z, lead = [*a, begin], [*z, last[ok]], [*lead, hashes[begin]]
+        a, z, lead = map(np.concatenate, (a, z, lead))
+        order = np.lexsort((lead, z, a))
+        a, z, lead = a[order], z[order], lead[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (z[1:] != z[:-1]) | (lead[1:] != lead[:-1])
+        self._place(a[new], z[new])
+        self.lead = lead[new]  # of an added run, the hash of the one that it begins with
+
+    def _leads(self, of: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word whether one of the runs `of` goes from there to `upto`, and its hash."""
+        of = of[self.z[of] == upto[self.a[of]]]
+        kept, hashes = np.zeros(len(upto), bool), np.zeros(len(upto), np.uint64)
+        kept[self.a[of]] = True
+        hashes[self.a[of]] = self.run[of]
+        return kept, hashes
 
     def _minima(self, window: int) -> np.ndarray:
         """Whether a word has the least hash of some `window` words of its text."""

@@ -344,3 +344,13 @@ def test_fifty_words_inside_long_sentences_go_whole(spark, docs, tmp_path):
         left[i] = " ".join(own[: i % 20] + first + own[20:] + own[5:10])
     out = removed_by_query(spark, docs, tmp_path, rows)
     assert {i: t.strip() for i, t in out.items()} == left
+
+
+def test_two_whole_sentences_go_whatever_follows(spark, docs, tmp_path):
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 100_000, n)) + "."
+    passages = [f"{prose(5)} {prose(16)}" for _ in range(200)]
+    around = [(prose(15), prose(15)) for _ in range(400)]
+    rows = [(i, f"{a} {passages[i % 200]} {b}") for i, (a, b) in enumerate(around)]
+    out = removed_by_query(spark, docs, tmp_path, rows)
+    assert out == {i: t if i < 200 else " ".join(around[i]) for i, t in rows}
